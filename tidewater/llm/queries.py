@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, line_dedup, packing, simhash, substring_dedup, token_counts
+from . import decontaminate, embedding_dedup, line_dedup, packing, simhash, substring_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
@@ -17,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_suffix_dedup": suffix_dedup.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
