@@ -58,12 +58,18 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or as ``row.text`` a field of the struct ``row``, in which rows carry their own columns under any names."""
+    first, _, rest = name.partition(".")
+    return batch.column(first).field(rest) if rest else batch.column(first)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the bytes of a string column stay below a bound, a longer row alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.binary_length(batch.column(column).cast(pa.binary())).fill_null(0), np.int64)
+        sizes = np.asarray(pc.binary_length(column_of(batch, column).cast(pa.binary())).fill_null(0), np.int64)
         cut = np.cumsum(sizes) // most
         starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
         for s, e in zip(starts, [*starts[1:], batch.num_rows]):

@@ -19,14 +19,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import as_bytes, batch_of, read, slices
+from .common import as_bytes, column_of, read, slices
 
 #: Words are runs of letters, digits and all bytes beyond ASCII: code points over U+007F are in the class as a whole.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 PATTERN_BYTES = 24 << 20
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.list_(pa.int64()))), ("text", pa.string())])
-OUT_SQL = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<array<long>>, text string"
+FOUND = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.list_(pa.int64())))])
+FOUND_SQL = "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean, spans array<array<long>>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -81,8 +82,8 @@ def scan(machine, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
     return len(w), merged, items
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep_text: bool = False, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items (sorted), contaminated, spans (byte offsets of hit runs) and, if asked for, text."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
+    """Per row: row (a struct of all columns), n_words, n_hit, n_items, items (sorted), contaminated and spans (bytes and words: begin and end of each)."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size * n > pattern_bytes:  # every word is in up to n windows
         raise ValueError(f"the windows of {size} bytes of benchmark exceed {pattern_bytes} bytes on each worker; split the benchmark and add up the hits")
@@ -91,22 +92,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(found.value) if found.value else None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "row.text"):
             cols: list[list] = [[] for _ in range(6)]
-            for text in as_bytes(batch.column("text")):
+            for text in as_bytes(column_of(batch, "row.text")):
                 n_words, runs, items = scan(machine, text)
                 hit = sum(e - s for s, e in runs)
                 spans = []
                 if runs:
                     at = [m.span() for m in WORDS.finditer(text.lower())]
-                    spans = [[at[s][0], at[e - 1][1]] for s, e in runs]
+                    spans = [[at[s][0], at[e - 1][1], s, e] for s, e in runs]
                 for c, v in zip(cols, (n_words, hit, len(items), sorted(items), hit > 0 and 20 * hit >= n_words, spans)):
                     c.append(v)
-            yield batch_of(OUT, batch.column("doc_id"), *cols, batch.column("text") if keep_text else pa.nulls(batch.num_rows, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, f.type) for c, f in zip(cols, FOUND))], names=["row", *FOUND.names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT_SQL)
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *_parse_datatype_string(FOUND_SQL).fields]))
+
+
+def cut_spans(text: str, spans: list[list[int]], least: int) -> str:
+    """A text without its hit runs of ``least`` words or more."""
+    b, at, out = text.encode(), 0, []
+    for s, e, first, last in spans:
+        if last - first >= least:
+            out.append(b[at:s])
+            at = e
+    return b"".join([*out, b[at:]]).decode("utf-8", "replace")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
+    """The documents without contaminated ones; the others lose hit runs of ``n`` words or more. Columns stay as they are."""
+    found = find_contamination(docs, benchmark, n).filter(~F.col("contaminated"))
+    cut = F.udf(lambda text, spans: cut_spans(text, spans, n), "string")  # few rows
+    text = F.when(F.size("spans") > 0, cut("row.text", "spans")).otherwise(F.col("row.text"))
+    return found.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    out = find_contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import SPACE, Scratch, as_bytes, batch_of, read, slices
+from .common import SPACE, Scratch, as_bytes, batch_of, column_of, read, slices
 
 KEYS = "key binary, doc_id long"
 #: Filters are sent to all executors below this size; above it, every long line goes to the exact table.
@@ -167,39 +168,39 @@ def load_filters(spark: SparkSession, frequent: DataFrame) -> tuple[int, object
 
 
 def finish(docs: DataFrame) -> DataFrame:
-    """Documents with ``drop``, the keys to be dropped, cleaned."""
-    min_chars = 1
-    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
+    """Rows (``row``, a struct) with ``drop``, the keys to be dropped: row, n_lines, n_dropped and the text that is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "row.text"):
             n_lines, n_dropped, texts = [], [], []
-            for text, drop in zip(as_bytes(batch.column("text")), batch.column("drop").to_pylist()):
+            for text, drop in zip(as_bytes(column_of(batch, "row.text")), batch.column("drop").to_pylist()):
                 lines = text.split(b"\n")
                 gone = set(drop or ())
-                kept = [x for x in lines if key_of(x, min_chars) not in gone] if gone else lines
+                kept = [x for x in lines if key_of(x, 1) not in gone] if gone else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
                 texts.append(b"\n".join(kept))
-            yield batch_of(schema, batch.column("doc_id"), n_lines, n_dropped, pa.array(texts, pa.binary()).cast(pa.string()))
+            columns = [batch.column("row"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_lines", "n_dropped", "text"])
 
-    return docs.select("doc_id", "text", "drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+    rows = docs.select("row", "drop")
+    out = StructType([rows.schema["row"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("text", StringType())])
+    return rows.mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text that is left, for every row of the documents."""
+    """row (a struct of all columns), n_lines, n_dropped and the text that is left, for every row of the documents."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     frequent = scratch.write(count(references(docs, min_chars)).filter(F.col("n_docs") >= min_docs), "frequent")
     _, filters = load_filters(spark, frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("keys", pa.list_(pa.binary()))])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The long keys of each row that may be frequent."""
         tables = filters and {k: CuckooFilter.load(v) for k, v in filters.value.items()}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "row.text"):
             keys, rows = [], []
-            for row, (i, text) in enumerate(zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")))):
+            for row, (i, text) in enumerate(zip(column_of(batch, "row.doc_id").to_pylist(), as_bytes(column_of(batch, "row.text")))):
                 own = {k for line in text.split(b"\n") if len(line) >= min_chars and (k := key_of(line, min_chars))} if i is not None else ()
                 keys += own
                 rows += [row] * len(own)
@@ -215,19 +216,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
             found: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
             for j in np.flatnonzero(hit).tolist():
                 found[rows[j]].append(keys[j])
-            yield batch_of(schema, batch.column("doc_id"), batch.column("text"), found)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.binary()))], names=["row", "keys"])
 
-    probed = scratch.write(docs.select("doc_id", "text").mapInArrow(probe, "doc_id long, text string, keys array<binary>"), "probed")
+    rows = docs.select(F.struct("*").alias("row"))
+    probed = scratch.write(rows.mapInArrow(probe, StructType([*rows.schema.fields, StructField("keys", ArrayType(BinaryType()))])), "probed")
     drops = (
-        probed.select("doc_id", F.explode("keys").alias("key"))
+        probed.select("row.doc_id", F.explode("keys").alias("key"))
         .join(frequent, "key")
         .filter(F.col("doc_id") < F.col("max_doc"))
         .groupBy("doc_id")
         .agg(F.collect_set("key").alias("drop"))
     )
-    plain = probed.filter(F.size("keys") == 0).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("drop"))
-    held = probed.filter(F.size("keys") > 0).select("doc_id", "text").join(drops, "doc_id", "left")
-    return finish(plain.unionByName(held.select("doc_id", "text", "drop")))
+    plain = probed.filter(F.size("keys") == 0).select("row", F.lit(None).cast("array<binary>").alias("drop"))
+    held = probed.filter(F.size("keys") > 0).select("row").join(drops, F.col("row.doc_id") == F.col("doc_id"), "left")
+    return finish(plain.unionByName(held.select("row", "drop")))
 
 
 class LineIndex:
@@ -275,8 +277,8 @@ class LineIndex:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
