@@ -14,6 +14,7 @@ A null or empty text is the end id alone. Rows with a null or repeated doc_id ar
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +23,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import as_bytes, batch_of, read, slices
-from .tokens import BYTE_BPE, is_safe, path, tokenizer
+from .tokens import BYTE_BPE, is_safe, merger, path, tokenizer
 
-MODEL = "byte_bpe_50k.json"
+MODEL = "byte_bpe_50k"
 END_ID = b"\0\0\0\0"
 #: Pre-tokens whose ids a worker remembers, and examples packed at a time.
-REMEMBER, EXAMPLES = 150_000, 4096
+REMEMBER, EXAMPLES = 200_000, 4096
 OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 OUT_SQL = ", ".join(f"`{n}` long" for n in OUT.names)
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes."""
+    """Token ids as little-endian unsigned 32-bit bytes.
+
+    Pre-tokens are merged over the vocabulary's ranks, which is the same merging several times faster; whole texts that
+    can't be cut here go to the tokenizer.
+    """
 
     def __init__(self, where: str):
-        self.tok, self.known = tokenizer(where), {}
+        self.tok, self.known, self.merge = tokenizer(f"{where}.json"), {}, merger(f"{where}.tiktoken")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [BYTE_BPE.findall(x) if is_safe(x) and "<|" not in x else None for x in texts]
@@ -44,10 +49,7 @@ class Encoder:
         if len(self.known) + len(missing) > REMEMBER:
             self.known = {}
             missing = {w for words in cut if words for w in words}
-        todo = list(missing)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False))))
+        self.known.update((w, array("I", self.merge(w.encode())).tobytes()) for w in missing)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(cut, texts)]
 
@@ -128,7 +130,7 @@ def fill_gaps(bins: list[list[Piece]], tokens: int, segments: int, loss_tokens:
 
 def pack_documents(docs: DataFrame, tokens: int = 1024, segments: int = 512, loss_tokens: int | None = None, loss_column: str | None = None, folder: str | None = None) -> DataFrame:
     """One row per piece. ``loss_column``: a boolean column, whether the ids of a row bear loss; else all do."""
-    where = path(MODEL, folder)
+    where = path(f"{MODEL}.json", folder).removesuffix(".json")
     most = loss_tokens or tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

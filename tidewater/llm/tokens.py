@@ -35,6 +35,10 @@ BYTE_BPE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}
 WORD_BPE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
 
+#: The byte-level vocabulary's own pattern, for text that is not safe.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def is_safe(text: str) -> bool:
     return not _UNSAFE.search(text)
 
@@ -50,6 +54,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def merger(path: str):
+    """From the bytes of a pre-token to its ids, by a vocabulary given as ranks."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def path(name: str, folder: str | None = None) -> str:
     """Where a vocabulary file lies: in a folder, or in the installed package."""
     if folder:
