@@ -69,8 +69,19 @@ class Piece:
         return Piece(self.doc_id, self.start, self.ids[: 4 * n], self.total, self.loss), Piece(self.doc_id, self.start + n, self.ids[4 * n :], self.total, self.loss)
 
 
+def parts(piece: Piece, most: int) -> list[Piece]:
+    out = []
+    while len(piece) > most:
+        head, piece = piece.cut(most)
+        out.append(head)
+    return [*out, piece]
+
+
 def pack(pieces: list[Piece], tokens: int, segments: int, loss_tokens: int) -> list[list[Piece]]:
-    """Bins of pieces that keep to all three limits."""
+    """Bins of pieces that keep to all three limits; a piece too large for any bin is cut first."""
+    if min(tokens, segments, loss_tokens) < 1:
+        raise ValueError("limits must be positive")
+    pieces = [q for p in pieces for q in parts(p, min(tokens, loss_tokens) if p.loss else tokens)]
     if not pieces:
         return []
     size = np.array([len(p) for p in pieces], float)
