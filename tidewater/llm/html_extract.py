@@ -155,7 +155,7 @@ def decide(length: int, linked: int, stops: float, scope: bool) -> int:
     if linked > LINKS * length:
         return BAD
     if length < SHORT:
-        return BAD if linked else OPEN
+        return OPEN
     if stops >= MANY:
         return GOOD if length >= LONG or scope else UNCLEAR
     if stops >= FEW:
@@ -179,7 +179,7 @@ def inherit(labels: list[int], scoped: bool) -> list[bool]:
             continue
         (p, a), (q, b) = before[i], after[i]
         if a is None and b is None:
-            out.append(scoped or label == UNCLEAR)
+            out.append(True)  # nothing on the page is decided
         elif label == UNCLEAR:
             out.append(GOOD in (a, b))
         elif a is None or b is None or a == b:
