@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_suffix_dedup": suffix_dedup.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op2_suffix_dedup": suffix_dedup.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op5_decontamination": decontaminate.OP5_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL}
