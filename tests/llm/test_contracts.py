@@ -84,9 +84,10 @@ def test_substring_dedup(spark, folder, monkeypatch, small):
     assert result(spark, "op10_substring_dedup", folder) == brute.op10(documents())
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_simhash(spark, folder, monkeypatch, block):
+@pytest.mark.parametrize("block, sparse", [(4096, 1 << 24), (2, 1 << 24), (4096, 0), (2, 0)])
+def test_simhash(spark, folder, monkeypatch, block, sparse):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SPARSE", sparse)
     assert result(spark, "op3_simhash", folder) == brute.op3(documents())
 
 

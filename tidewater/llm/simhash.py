@@ -1,9 +1,9 @@
 """SimHash near-dedup by multi-index hashing.
 
 A fingerprint is the bitwise majority of the XXH64 hashes (seed 42) of a text's word shingles. Equal fingerprints are
-one node. A node stands in one table for each of three segments of its fingerprint. Two fingerprints within 4 bits
-agree within 1 bit in the first or the second segment, or in the third exactly (else they would differ in 2 + 2 + 1).
-So each node looks up the Hamming balls of radius 1, 1 and 0 around its segments, and every match is verified over all 64
+one node. A node stands in one table for each segment of its fingerprint. With three segments, two fingerprints within 4 bits
+agree within 1 bit in the first or the second, or in the third exactly (else they would differ in 2 + 2 + 1 bits); with
+two, within 2 bits in the first or 1 in the second. So each node looks up the Hamming balls around its segments, and every match is verified over all 64
 bits. Segment values that very many nodes share are cut into blocks (graph.deal); a task gives a spanning forest of the
 links that it finds, not the pairs.
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,12 @@ from .graph import components, deal, spanning
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 BITS = 4
-#: (first bit, bits, radius) of each segment; a radius-r ball in each covers all pairs within BITS.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+Segments = tuple[tuple[int, int, int], ...]
+#: (first bit, bits, radius) of each segment; the balls together cover all pairs within BITS. Three short segments make 45
+#: look-ups and few matches while values are sparse; for more nodes than SPARSE, two long ones make 562 and fewer matches.
+THREE: Segments = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+TWO: Segments = ((0, 32, 2), (32, 32, 1))
+SPARSE = 1 << 24
 #: Nodes of one segment value that a task holds; rows of a bin.
 BLOCK, BIN = 4096, 250_000
 #: Hashes whose bits are counted at a time.
@@ -72,43 +78,53 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def balls(fps: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+@lru_cache(maxsize=8)
+def flips(bits: int, radius: int) -> list[np.uint64]:
+    """What turns a value into those of its ball, itself first."""
+    return [np.uint64(sum(1 << j for j in own)) for r in range(radius + 1) for own in combinations(range(bits), r)]
+
+
+def balls(fps: np.ndarray, segments: Segments) -> Iterator[tuple[bool, np.ndarray]]:
     """Keys (segment and value) under which fingerprints stand (True) and which they look up (False)."""
-    for k, (first, bits, radius) in enumerate(SEGMENTS):
-        value = (fps >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        tag = np.uint64(k << 32)
-        yield True, value | tag
-        yield False, value | tag
-        for j in range(bits if radius else 0):
-            yield False, (value ^ np.uint64(1 << j)) | tag
+    for k, (first, bits, radius) in enumerate(segments):
+        value = (fps >> np.uint64(first)) & np.uint64((1 << bits) - 1) | np.uint64(k << 40)
+        yield True, value
+        for flip in flips(bits, radius):
+            yield False, value ^ flip
 
 
-def lookups(nodes: DataFrame, homes_only: bool = False) -> DataFrame:
+def lookups(nodes: DataFrame, segments: Segments, homes_only: bool = False) -> DataFrame:
     """key, home, id, fp: where the nodes stand and what they look up."""
     schema = pa.schema([("key", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for home, keys in balls(fps):
+            for home, keys in balls(fps, segments):
                 if home or not homes_only:
                     yield batch_of(schema, keys.view(np.int64), np.full(len(keys), home), batch.column("node"), batch.column("fp"))
 
     return nodes.select("node", "fp").mapInArrow(run, "key long, home boolean, id long, fp long")
 
 
-def hot_keys(nodes: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """key, homes, guests of the segment values that many nodes stand under, and of those one bit away; none if there are none."""
-    full = scratch.write(lookups(nodes, homes_only=True).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot")
+def hot_keys(nodes: DataFrame, segments: Segments, scratch: Scratch) -> DataFrame | None:
+    """key, homes, guests of the segment values that many nodes stand under, and of those in their balls; none if there are none."""
+    full = scratch.write(lookups(nodes, segments, homes_only=True).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "hot")
     if full.isEmpty():
         return None
-    flips = lambda bits: F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda j: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
-    near = F.array("key")
-    for k, (_, bits, radius) in enumerate(SEGMENTS):
-        if radius:
-            near = F.when(F.shiftright("key", 32) == k, F.concat(F.array("key"), flips(bits))).otherwise(near)
-    guests = full.select(F.explode(near).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("guests"))
-    return scratch.write(guests.join(full, "key", "left").select("key", F.coalesce("n", F.lit(BLOCK)).alias("homes"), (F.col("guests") + 22 * BLOCK).alias("guests")), "hot")
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
+            for k, (_, bits, radius) in enumerate(segments):
+                own = keys >> 40 == k
+                for flip in flips(bits, radius):
+                    yield batch_of(schema, (keys[own].view(np.uint64) ^ flip).view(np.int64), n[own])
+
+    guests = full.mapInArrow(spread, "key long, n long").groupBy("key").agg(F.sum("n").alias("guests"))
+    rest = BLOCK * max(len(flips(bits, radius)) for _, bits, radius in segments)  # of values that are not hot themselves
+    return scratch.write(guests.join(full, "key", "left").select("key", F.coalesce("n", F.lit(BLOCK)).alias("homes"), (F.col("guests") + rest).alias("guests")), "hot")
 
 
 def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +159,15 @@ def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return spanning(np.concatenate(a), np.concatenate(b))
 
 
-def link(docs: DataFrame, shingle: int = 4) -> DataFrame:
+def link(docs: DataFrame, shingle: int = 4, segments: Segments | None = None) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, shingle), "fingerprints")
     nodes = scratch.write(fps.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    rows = deal(lookups(nodes), hot_keys(nodes, scratch), BLOCK)
-    bins = max(1, -(-nodes.count() * 48 // BIN))
+    n = nodes.count()
+    segments = segments or (THREE if n <= SPARSE else TWO)
+    rows = deal(lookups(nodes, segments), hot_keys(nodes, segments, scratch), BLOCK)
+    bins = max(1, -(-n * sum(1 + len(flips(bits, radius)) for _, bits, radius in segments) // BIN))
 
     def run(table):
         a, b = compare(table)
