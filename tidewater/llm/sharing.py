@@ -113,7 +113,8 @@ def text_rows(docs: DataFrame, chunks: int) -> DataFrame:
 def copy_rows(docs: DataFrame, chunks: int, scratch: Scratch) -> DataFrame:
     """COPIES rows: documents whose text others have too, each with the smallest doc_id that has it."""
     hashed = scratch.write(docs.filter("doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("h")), "hashed")
-    classes = hashed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    # as a table, so that the join reads it through a shuffle and can split a text that very many documents have
+    classes = scratch.write(hashed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
