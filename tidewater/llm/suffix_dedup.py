@@ -368,8 +368,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-starts AS (SELECT rid, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS s FROM docs WHERE length(x) >= 100),
-windows AS (SELECT rid, doc_id, s, md5_number(substr(x, 2 * s + 1, 100)) AS k FROM starts),
+parts AS (SELECT rid, doc_id, x, length(x) // 2 - 49 AS n, unnest(range(0, greatest(length(x) // 2 - 49, 0), 1000)) AS p FROM docs),
+starts AS (SELECT rid, doc_id, p, y, unnest(range(0, m)) AS s FROM (SELECT rid, doc_id, p, substr(x, 2 * p + 1, 2098) AS y, least(1000, n - p) AS m FROM parts)),
+windows AS (SELECT rid, doc_id, p + s AS s, md5_number(substr(y, 2 * s + 1, 100)) AS k FROM starts),
 low AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT rid, s FROM windows JOIN low USING (k) WHERE low.low < doc_id),
 spans AS (
