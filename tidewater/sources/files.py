@@ -51,7 +51,7 @@ def contents(spark: SparkSession, root: str) -> DataFrame:
     """(path, text, failure): text of files up to 32 MiB, a reason for the others. Larger ones aren't decoded."""
     rows = raw_files(spark, root)
     failure = F.when(F.col("length") > MOST_BYTES, F.concat(F.lit("file too large: "), F.col("length").cast("string"))).when(is_binary(F.col("content")), "binary_content_detected")
-    return rows.select("path", F.when(failure.isNull(), F.decode("content", F.lit("UTF-8"))).alias("text"), failure.alias("failure"))
+    return rows.select("path", F.when(failure.isNull(), F.decode("content", "UTF-8")).alias("text"), failure.alias("failure"))
 
 
 def scan_tools(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -64,7 +64,7 @@ def scan_tools(spark: SparkSession, root: str, include: list[str] = (), exclude:
     def extract(path: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([tools_of(p, t or "") for p, t in zip(path, text)])
 
-    return rows.select("path", F.explode(extract("path", F.decode("content", F.lit("UTF-8")))).alias("t"), content_hash(F.col("content"), True).alias("content_hash")).select("t.name", F.col("path").alias("source_file"), "t.description", "t.input_schema", "t.risk", "t.language", "content_hash")
+    return rows.select("path", F.explode(extract("path", F.decode("content", "UTF-8"))).alias("t"), content_hash(F.col("content"), True).alias("content_hash")).select("t.name", F.col("path").alias("source_file"), "t.description", "t.input_schema", "t.risk", "t.language", "content_hash")
 
 
 def scan_resources(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
@@ -78,4 +78,4 @@ def scan_resources(spark: SparkSession, root: str, include: list[str] = (), excl
 
 def read_resource(rows: DataFrame) -> DataFrame:
     """(name, body): text as it is, anything else in base64."""
-    return rows.select("name", F.when(F.col("mime_type").isin(*TEXT_MIMES), F.decode("content", F.lit("UTF-8"))).otherwise(F.base64("content")).alias("body"))
+    return rows.select("name", F.when(F.col("mime_type").isin(*TEXT_MIMES), F.decode("content", "UTF-8")).otherwise(F.base64("content")).alias("body"))
