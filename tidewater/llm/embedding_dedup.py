@@ -1,9 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one vector kept of each group.
 
 Only vectors of the same label are compared. Equal vectors of a label are one node with a weight. A node is at home in the
-cell of its nearest centroid, and a guest in its own cell and in every other that may hold the home of a vector within
-the threshold: with cos(x, y) >= t, |x - y| is at most r = sqrt(2 - 2 t), so y can be nearer to centroid c than to x's own
-centroid o only if (o - c) x <= r |o - c|. Homes times guests thus finds every link of a home, once.
+cell of its nearest centroid, and a guest in its own cell and in near ones. With cos(x, y) >= t, |x - y| is at most
+r = sqrt(2 - 2 t). If x is at home with centroid o and y with centroid c, then (o - c) x >= 0 >= (o - c) y, and the two
+differ by at most r |o - c|: one of them lies within half of that of the plane between the cells, and is a guest in the
+other's cell. Homes times guests thus finds every link; one between cells that is found in both counts in the first.
 
 Centroids are fitted on at most ``sample`` rows, the ones with the smallest hashes; every row is placed. Cells with very
 many homes or guests are cut into blocks (graph.deal). Tasks give each node's number of links and a spanning forest.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from .common import Scratch, batch_of, read
 from .graph import components, deal, spanning
 
 #: Rows that k-means is fitted on; nodes for each cell aimed at, and cells at most; block of a large cell; rows of a bin.
-SAMPLE, PER_CELL, CELLS, BLOCK, BIN = 20_000, 1000, 1024, 2048, 20_000
+SAMPLE, PER_CELL, CELLS, BLOCK, BIN = 20_000, 500, 1024, 2048, 20_000
 ROUNDS = 8
 
 
@@ -80,10 +82,11 @@ def fit(nodes: DataFrame, k: int, sample: int) -> dict[int, np.ndarray]:
 
 
 def place(nodes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """key (label, dimension and cell), home, id, weight, embedding (of length one): once at home, and for each cell a guest is in."""
+    """key (label, dimension and cell), home, id, weight, embedding (of length one), at (the home cell): once at home, with ``also``, the
+    other cells it is a guest in, and for each cell a guest is in."""
     cast = nodes.sparkSession.sparkContext.broadcast(centroids)  # at most CELLS for each dimension
     reach = np.sqrt(2 - 2 * threshold) + 1e-9
-    schema = pa.schema([("key", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("weight", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    schema = pa.schema([("key", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("weight", pa.int64()), ("embedding", pa.list_(pa.float64())), ("at", pa.int32()), ("also", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in cast.value.items()}
@@ -98,13 +101,14 @@ def place(nodes: DataFrame, centroids: dict[int, np.ndarray], threshold: float)
                     score = x @ c.T
                     home = np.argmax(score, axis=1)
                     gap = score[np.arange(len(own)), home][:, None] - score
-                    guest = gap <= reach * apart.get(d, np.zeros((1, 1)))[home] + 1e-12
+                    guest = gap <= reach / 2 * apart.get(d, np.zeros((1, 1)))[home] + 1e-12
                     row, cell = np.nonzero(guest)
                     key = lambda i, c: xxhash.xxh64_intdigest(f"{d} {c} {label[own[i]]}".encode()) - (1 << 63)  # noqa: B023, E731
+                    also = [[c for c in part if c != o] for part, o in zip(map(np.ndarray.tolist, np.split(cell, np.flatnonzero(np.diff(row)) + 1)), home.tolist())]
                     for is_home, rows, cells in ((True, np.arange(len(own)), home), (False, row, cell)):
-                        yield batch_of(schema, [key(i, c) for i, c in zip(rows.tolist(), cells.tolist())], [is_home] * len(rows), [node[own[i]] for i in rows], [weight[own[i]] for i in rows], list(x[rows]))
+                        yield batch_of(schema, [key(i, c) for i, c in zip(rows.tolist(), cells.tolist())], [is_home] * len(rows), [node[own[i]] for i in rows], [weight[own[i]] for i in rows], list(x[rows]), home[rows], also if is_home else [None] * len(rows))
 
-    return nodes.select("label", "node", "weight", "embedding").mapInArrow(run, "key long, home boolean, id long, weight long, embedding array<double>")
+    return nodes.select("label", "node", "weight", "embedding").mapInArrow(run, "key long, home boolean, id long, weight long, embedding array<double>, at int, also array<int>")
 
 
 def products(table: pa.Table, threshold: float) -> tuple[list, list, list]:
@@ -113,6 +117,9 @@ def products(table: pa.Table, threshold: float) -> tuple[list, list, list]:
     cell, home, node, weight = get("cell"), get("home").astype(bool), get("id"), get("weight")
     flat = table.column("embedding").combine_chunks()
     start, values = flat.offsets.to_numpy(), flat.values.to_numpy(zero_copy_only=False)
+    near, at_cell = table.column("also").combine_chunks(), get("at").astype(np.int64)
+    others = pc.list_value_length(near).fill_null(0).to_numpy(zero_copy_only=False)
+    pairs = np.repeat(np.arange(len(near)), others) * (1 << 20) + near.flatten().to_numpy(zero_copy_only=False)  # a row and a cell it is a guest in
     vectors = lambda i: np.stack([values[start[j] : start[j + 1]] for j in i])
     a, b, n = [], [], []
     order = np.argsort(cell, kind="stable")
@@ -130,7 +137,15 @@ def products(table: pa.Table, threshold: float) -> tuple[list, list, list]:
                 j += to
                 other = node[part[i]] != node[g[j]]
                 i, j = i[other], j[other]
-                np.add.at(sums, i, weight[g[j]])
+                here, there = at_cell[part[i]], at_cell[g[j]]
+                apart = here != there
+                counts = ~apart | (here < there) | ~np.isin(part[i] * (1 << 20) + there, pairs)
+                np.add.at(sums, i[counts], weight[g[j[counts]]])
+                both = counts & apart
+                who, which = np.unique(node[g[j[both]]], return_inverse=True)
+                a += who.tolist()
+                b += [None] * len(who)
+                n += np.bincount(which, weight[part[i[both]]], len(who)).astype(np.int64).tolist() if len(who) else []
                 s, t = spanning(node[part[i]], node[g[j]]) if len(i) else ([], [])
                 p += list(s)
                 q += list(t)
@@ -157,7 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
     dealt = deal(placed, scratch.write(sizes, "sizes"), BLOCK).withColumn("bin", F.pmod("cell", F.lit(bins)).cast("int"))
-    found = scratch.write(dealt.select("bin", "cell", "home", "id", "weight", "embedding").groupBy("bin").applyInArrow(run, "a long, b long, n long"), "found")
+    found = scratch.write(dealt.select("bin", "cell", "home", "id", "weight", "embedding", "at", "also").groupBy("bin").applyInArrow(run, "a long, b long, n long"), "found")
     links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.filter("n IS NULL").select("a", "b"), scratch)
     named = nodes.join(links, "node", "left").join(groups, "node", "left").select("vkey", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c"))
