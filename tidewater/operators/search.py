@@ -61,8 +61,36 @@ def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], stemmed: bool =
     return hits.join(df, "term").join(lengths, "chunk_id").join(stats, F.lit(True)).groupBy("chunk_id").agg(F.sum(part).alias("score"))
 
 
+def scan_bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(node_id, chunk_id, score) without an index: term frequencies are counted in each row's tokens, nothing is exploded or shuffled.
+
+    Two passes over the text: one row of totals, which is broadcast, and the scores.
+    """
+    wanted = {t: terms.count(t) for t in terms}
+    text = F.concat_ws(" ", "text", "header") if "header" in chunks.columns else F.col("text")
+    words = chunks.select("node_id", "chunk_id", tokens(text).alias("words"))
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("words", lambda w: w == term))
+
+    tf = [frequency(t).alias(f"tf{i}") for i, t in enumerate(wanted)]
+    counted = words.select("node_id", "chunk_id", F.size("words").alias("dl"), *tf)
+    some = [(F.col(f"tf{i}") > 0).cast("long") for i in range(len(wanted))]
+    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(s).alias(f"df{i}") for i, s in enumerate(some)))
+    score = F.lit(0.0)
+    for i, times in enumerate(wanted.values()):
+        n, df, f = F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}")
+        idf = F.log((n - df + 0.5) / (df + 0.5))
+        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+        score = score + times * idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hit = reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(wanted))))
+    return counted.filter(hit).join(F.broadcast(totals), F.lit(True)).select("node_id", "chunk_id", score.alias("score"))
+
+
 def fts_search(chunks: DataFrame, query: str, k: int = 20, index: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    """Top chunks by BM25."""
+    """Top chunks by BM25: from an index if there is one, or if stems are asked for, else by a scan."""
+    if index is None and not stemmed and (terms := query_terms(query)):
+        return scan_bm25(chunks, terms).orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
     index = postings(chunks, stemmed) if index is None else index
     scored = bm25(index, doc_lengths(chunks), query_terms(query), stemmed)
     return scored.join(chunks.select("chunk_id", "node_id"), "chunk_id").select("node_id", "chunk_id", "score").orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
