@@ -5,7 +5,8 @@ words of an item (all words of a shorter item); the automaton holds every distin
 begins and ends at words. A hit's offset leads to a word and from there to the bytes of the original text.
 
 The automaton's size is bounded by ``pattern_bytes``: it goes to every worker once, and a larger benchmark is handled in
-groups of windows, one scan for each. Benchmarks are curated by hand and don't grow with the corpus.
+groups of windows, one scan for each; hit words and items of a row are united. All scans but the last write the rows to a
+scratch table. Benchmarks are curated by hand and don't grow with the corpus.
 
 Nulls: a null text has no words; a null item_id takes part in hits but has no name in items_sha256 and is not counted.
 Items with equal ids count once. Rows with null or repeated doc_id are treated like any other.
@@ -15,13 +16,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import as_bytes, column_of, read, slices
+from .common import Scratch, as_bytes, column_of, read, slices
 
 #: Words are runs of letters, digits and all bytes beyond ASCII: code points over U+007F are in the class as a whole.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -35,16 +37,29 @@ def words(text: bytes) -> list[bytes]:
     return WORDS.findall(text)
 
 
-def windows(items: Iterator[tuple[int | None, bytes]], n: int) -> dict[bytes, tuple[int, set[str]]]:
-    """Window to its number of words and the items that hold it."""
+def window_groups(items: Iterator[tuple[int | None, bytes]], n: int, most: float) -> Iterator[dict[bytes, tuple[int, set[str]]]]:
+    """Window to its number of words and the items that hold it, in groups of about ``most`` bytes of windows and items."""
     out: dict[bytes, tuple[int, set[str]]] = {}
+    size = 0
     for i, text in items:
         w = words(text.lower())
         for s in range(max(1, len(w) - n + 1) if w else 0):
-            k, own = out.setdefault(b" ".join(w[s : s + n]), (min(n, len(w)), set()))
+            key = b" ".join(w[s : s + n])
+            name = "" if i is None else str(i)
+            if out and size + len(key) + len(name) > most:
+                yield out
+                out, size = {}, 0
+            size += len(name) + (0 if key in out else len(key))
+            _, own = out.setdefault(key, (min(n, len(w)), set()))
             if i is not None:
-                own.add(str(i))
-    return out
+                own.add(name)
+    if out:
+        yield out
+
+
+def windows(items: Iterator[tuple[int | None, bytes]], n: int) -> dict[bytes, tuple[int, set[str]]]:
+    """All windows in one group."""
+    return next(window_groups(items, n, float("inf")), {})
 
 
 def automaton(patterns: dict[bytes, tuple[int, set[str]]]):
@@ -73,29 +88,48 @@ def scan(machine, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
                 runs[-1][1:] = [last, last, end]
             else:
                 runs.append([last - n, last, last, end])
+    return len(w), united([(s, e) for s, e, *_ in runs]), items
+
+
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs in order; those that touch or overlap are one."""
     merged: list[tuple[int, int]] = []
-    for s, e, *_ in sorted(runs):
+    for s, e in sorted(runs):
         if merged and s <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
         else:
             merged.append((s, e))
-    return len(w), merged, items
+    return merged
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """Per row: row (a struct of all columns), n_words, n_hit, n_items, items (sorted), contaminated and spans (bytes and words: begin and end of each)."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size * n > pattern_bytes:  # every word is in up to n windows
-        raise ValueError(f"the windows of {size} bytes of benchmark exceed {pattern_bytes} bytes on each worker; split the benchmark and add up the hits")
-    rows = [(r.item_id, (r.text or "").encode()) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    found = docs.sparkSession.sparkContext.broadcast(windows(iter(rows), n))
+    rows = docs.select(F.struct("*").alias("row"))
+    items = ((r.item_id, (r.text or "").encode()) for r in benchmark.select("item_id", "text").toLocalIterator())
+    groups = window_groups(items, n, pattern_bytes)
+    scratch, group = None, next(groups, {})
+    for following in groups:
+        scratch = scratch or Scratch(docs.sparkSession, "decontamination")
+        found = docs.sparkSession.sparkContext.broadcast(group)
+        done = scratch.write(scanned(rows, found), "scanned")
+        found.destroy()
+        scratch.drop(rows)
+        rows, group = done, following
+    return scanned(rows, docs.sparkSession.sparkContext.broadcast(group))
+
+
+def scanned(rows: DataFrame, found) -> DataFrame:
+    """row and what the windows of ``found`` (a broadcast) and those of earlier scans, if there were any, hit in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(found.value) if found.value else None
         for batch in slices(batches, "row.text"):
+            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if "spans" in batch.schema.names else repeat(((), ()))
             cols: list[list] = [[] for _ in range(6)]
-            for text in as_bytes(column_of(batch, "row.text")):
+            for text, (old_spans, old_items) in zip(as_bytes(column_of(batch, "row.text")), before):
                 n_words, runs, items = scan(machine, text)
+                runs = united(runs + [(s, e) for *_, s, e in old_spans])
+                items.update(old_items)
                 hit = sum(e - s for s, e in runs)
                 spans = []
                 if runs:
@@ -105,8 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, patte
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, f.type) for c, f in zip(cols, FOUND))], names=["row", *FOUND.names])
 
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *_parse_datatype_string(FOUND_SQL).fields]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *_parse_datatype_string(FOUND_SQL).fields]))
 
 
 def cut_spans(text: str, spans: list[list[int]], least: int) -> str:
