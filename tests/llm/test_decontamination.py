@@ -20,3 +20,10 @@ def test_a_large_benchmark_is_scanned_in_groups(spark, bound):
     found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, 13, bound)
     got = found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256), "contaminated").collect()
     assert sorted(map(tuple, got), key=repr) == brute.op5(docs, items)
+
+
+def test_a_short_item_is_cut_too(spark):
+    long = " ".join(f"x{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, f"{long} the answer is Seven {long}"), (2, "answer is seven"), (3, long)], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, "Answer is seven")], "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, f"{long} the  {long}"), (3, long)]

@@ -142,7 +142,7 @@ def scanned(rows: DataFrame, found) -> DataFrame:
     return rows.mapInArrow(run, StructType([rows.schema["row"], *_parse_datatype_string(FOUND_SQL).fields]))
 
 
-def cut_spans(text: str, spans: list[list[int]], least: int) -> str:
+def cut_spans(text: str, spans: list[list[int]], least: int = 1) -> str:
     """A text without its hit runs of ``least`` words or more."""
     b, at, out = text.encode(), 0, []
     for s, e, first, last in spans:
@@ -153,9 +153,9 @@ def cut_spans(text: str, spans: list[list[int]], least: int) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """The documents without contaminated ones; the others lose hit runs of ``n`` words or more. Columns stay as they are."""
+    """The documents without contaminated ones; the others lose every hit run, which is a whole window at least. Columns stay as they are."""
     found = find_contamination(docs, benchmark, n).filter(~F.col("contaminated"))
-    cut = F.udf(lambda text, spans: cut_spans(text, spans, n), "string")  # few rows
+    cut = F.udf(lambda text, spans: cut_spans(text, spans), "string")  # few rows
     text = F.when(F.size("spans") > 0, cut("row.text", "spans")).otherwise(F.col("row.text"))
     return found.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
