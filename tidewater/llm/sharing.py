@@ -11,6 +11,7 @@ Exact copies are found before by the SHA-256 of whole texts, so that one text of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +112,7 @@ def text_rows(docs: DataFrame, chunks: int) -> DataFrame:
 
 
 def copy_rows(docs: DataFrame, chunks: int, scratch: Scratch) -> DataFrame:
-    """COPIES rows: documents whose text others have too, each with the smallest doc_id that has it."""
+    """COPIES rows: documents whose text others have too, each with the smallest doc_id that has it and the text's SHA-256."""
     hashed = scratch.write(docs.filter("doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("h")), "hashed")
     # as a table, so that the join reads it through a shuffle and can split a text that very many documents have
     classes = scratch.write(hashed.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"), "classes")
@@ -119,22 +120,23 @@ def copy_rows(docs: DataFrame, chunks: int, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "low"))
+            digests = batch.column("h").to_pylist()
             own = chunk_of(ids, chunks)
             order = np.argsort(own, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(ids) else ():
-                yield batch_of(ROW, [own[part[0]]], [COPIES], [0], [ids[part].tobytes()], [low[part].tobytes()], [b""])
+                yield batch_of(ROW, [own[part[0]]], [COPIES], [0], [ids[part].tobytes()], [low[part].tobytes()], [b"".join(digests[i] for i in part.tolist())])
 
-    return hashed.join(classes, "h").select("doc_id", "low").mapInArrow(run, ROW_SQL)
+    return hashed.join(classes, "h").select("doc_id", "low", "h").mapInArrow(run, ROW_SQL)
 
 
 class Chunk:
-    """A chunk's documents, sorted by doc_id and text; ``low``: by doc_id, the smallest with the same text, for copies."""
+    """A chunk's documents, sorted by doc_id and text; ``low``: by doc_id and SHA-256 of copied texts, the smallest doc_id with the text."""
 
     def __init__(self, table: pa.Table):
         rows = table.to_pylist()
         self.number = rows[0]["chunk"]
         docs: list[tuple[int, bytes]] = []
-        self.low: dict[int, int] = {}
+        self.low: dict[int, dict[bytes, int]] = {}
         self.answers: dict[int, dict[int, list[bytes]]] = {}
         for r in rows:
             if r["kind"] == TEXT:
@@ -143,21 +145,27 @@ class Chunk:
                 body = expand(r["z"])
                 docs += [(i, body[e - n : e]) for i, n, e in zip(np.frombuffer(r["x"], np.int64).tolist(), sizes.tolist(), ends.tolist())]
             elif r["kind"] == COPIES:
-                self.low.update(zip(np.frombuffer(r["x"], np.int64).tolist(), np.frombuffer(r["y"], np.int64).tolist()))
+                for k, (i, low) in enumerate(zip(np.frombuffer(r["x"], np.int64).tolist(), np.frombuffer(r["y"], np.int64).tolist())):
+                    self.low.setdefault(i, {})[r["z"][32 * k : 32 * k + 32]] = low
             else:
                 self.answers.setdefault(r["kind"], {}).setdefault(r["bucket"], []).append(r["y"])
         self.docs = sorted(docs)
 
-    def is_copy(self, doc_id: int) -> bool:
+    def lowest(self, doc_id: int, text: bytes) -> int | None:
+        """The smallest doc_id with the text, if documents with other doc_ids have it too."""
+        own = self.low.get(doc_id)
+        return own.get(sha256(text).digest()) if own else None
+
+    def is_copy(self, doc_id: int, text: bytes) -> bool:
         """Whether a document with a smaller doc_id has the same text."""
-        return self.low.get(doc_id, doc_id) != doc_id
+        return self.lowest(doc_id, text) not in (None, doc_id)
 
     def slabs(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Numbers of documents (copies left out, repeated rows too), their bytes and where each begins, with the end."""
         own: list[int] = []
         size = 0
         for k, (i, text) in enumerate(self.docs):
-            if self.is_copy(i) or k and self.docs[k - 1] == (i, text):
+            if k and self.docs[k - 1] == (i, text) or self.is_copy(i, text):
                 continue
             if own and size + len(text) > SLAB:
                 yield self._slab(own)

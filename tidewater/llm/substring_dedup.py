@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
         out: list[list] = [[] for _ in range(4)]
         for k, (i, text) in enumerate(chunk.docs):
             w = WORDS.findall(text)
-            if i in chunk.low and len(w) >= n:
+            if len(w) >= n and chunk.lowest(i, text) is not None:
                 removed, kept = len(w), []
             else:
                 j = k

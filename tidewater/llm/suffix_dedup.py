@@ -329,7 +329,7 @@ def dedup_suffixes(docs: DataFrame, n: int = 50) -> DataFrame:
         out: list[list] = [[] for _ in range(5)]
         for k, (i, text) in enumerate(chunk.docs):
             left, removed, spans = text, 0, 0
-            if chunk.is_copy(i):
+            if chunk.is_copy(i, text):
                 if len(text) >= n:
                     left, removed, spans = b"", len(text), 1
             else:
