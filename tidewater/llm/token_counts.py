@@ -2,10 +2,11 @@
 
 Offline, every string of the vocabulary that stands for a whole word is encoded alone; those that give one token are
 proven, and a pre-token that is one of them counts 1 without any merging. The other pre-tokens of a batch are merged by
-the library, each distinct one once, with a bounded table of those met before.
+the library, each distinct one once, with a bounded table of those met before: at most REMEMBER pre-tokens of at most
+SHORT characters. Longer ones are merged for their batch and forgotten.
 
-Texts with characters outside ``tokens.SAFE`` or with the start of a special token in them are counted by the library
-as a whole. A null or empty text has no tokens.
+Texts with characters outside ``tokens.SAFE``, before or after lower-casing, or with the start of a special token in them
+are counted by the library as a whole. A null or empty text has no tokens.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .common import as_bytes, batch_of, read, slices
 from .tokens import WORD_BPE, is_safe, path, tokenizer
 
 MODEL = "word_bpe_49k.json"
-#: Pre-tokens whose counts a worker remembers.
-REMEMBER = 200_000
+#: Pre-tokens whose counts a worker remembers, and characters of one that is remembered.
+REMEMBER, SHORT = 200_000, 64
 #: Marks the end of a word in the vocabulary.
 END = "</w>"
 
@@ -47,8 +48,9 @@ def count_tokens(docs: DataFrame, limit: int = 2048, folder: str | None = None)
             sizes = [len(x.encode()) for x in texts]
             cut, other, missing = [], [], set()
             for i, text in enumerate(texts):
-                if is_safe(text) and "<|" not in text:
-                    words = WORD_BPE.findall(text.lower())
+                low = text.lower()
+                if is_safe(text) and is_safe(low) and "<|" not in text:
+                    words = WORD_BPE.findall(low)
                     cut.append((i, words))
                     missing.update(words)
                 else:
@@ -64,6 +66,9 @@ def count_tokens(docs: DataFrame, limit: int = 2048, folder: str | None = None)
             n = [0] * len(texts)
             for i, words in cut:
                 n[i] = sum(map(known.__getitem__, words))
+            for w in todo:
+                if len(w) > SHORT:
+                    del known[w]
             for i in other:
                 n[i] = len(tok.encode(texts[i], add_special_tokens=False).ids)
             yield batch_of(schema, batch.column("doc_id"), sizes, n, [x > limit for x in n])
