@@ -27,8 +27,10 @@ from .tokens import BYTE_BPE, is_safe, merger, path, tokenizer
 
 MODEL = "byte_bpe_50k"
 END_ID = b"\0\0\0\0"
-#: Pre-tokens whose ids a worker remembers, and examples packed at a time.
-REMEMBER, EXAMPLES = 200_000, 4096
+#: Pre-tokens whose ids a worker remembers, characters of one that is remembered, and examples packed at a time.
+REMEMBER, SHORT, EXAMPLES = 200_000, 64, 4096
+#: Pieces of a sequence at most: so many documents an attention mask is built for.
+SEGMENTS = 8
 OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 OUT_SQL = ", ".join(f"`{n}` long" for n in OUT.names)
 
@@ -51,7 +53,11 @@ class Encoder:
             missing = {w for words in cut if words for w in words}
         self.known.update((w, array("I", self.merge(w.encode())).tobytes()) for w in missing)
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(cut, texts)]
+        out = [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(cut, texts)]
+        for w in missing:
+            if len(w) > SHORT:
+                del self.known[w]
+        return out
 
 
 class Piece:
@@ -139,7 +145,7 @@ def fill_gaps(bins: list[list[Piece]], tokens: int, segments: int, loss_tokens:
     return bins
 
 
-def pack_documents(docs: DataFrame, tokens: int = 1024, segments: int = 512, loss_tokens: int | None = None, loss_column: str | None = None, folder: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokens: int = 1024, segments: int = SEGMENTS, loss_tokens: int | None = None, loss_column: str | None = None, folder: str | None = None) -> DataFrame:
     """One row per piece. ``loss_column``: a boolean column, whether the ids of a row bear loss; else all do."""
     where = path(f"{MODEL}.json", folder).removesuffix(".json")
     most = loss_tokens or tokens
