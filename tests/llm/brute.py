@@ -37,15 +37,18 @@ def op1(rows):
     def good(r):
         return r[0] is not None and r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1])
 
-    ok = {r[0]: (np.array(r[1], float), r[2]) for r in rows if good(r)}
-    links = set()
-    for a, (x, lx) in ok.items():
-        for b, (y, ly) in ok.items():
-            if a != b and lx == ly and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
-                links.add((a, b))
-    comp = groups({r[0] for r in rows if r[0] is not None}, links)
-    n = Counter(a for a, _ in links)
-    return sorted(((r[0], n[r[0]], comp.get(r[0]), comp.get(r[0], r[0]) == r[0]) for r in rows), key=repr)
+    ok = sorted({(r[0], tuple(float(x) + 0.0 for x in r[1]), r[2]) for r in rows if good(r)})
+    links = Counter()
+    edges = []
+    for a in ok:
+        for b in ok:
+            x, y = np.array(a[1]), np.array(b[1])
+            if a != b and a[2] == b[2] and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                links[a] += 1
+                edges.append((a[0], b[0]))
+    comp = groups({r[0] for r in rows if r[0] is not None}, edges)
+    n = [links[r[0], tuple(float(x) + 0.0 for x in r[1]), r[2]] if good(r) else 0 for r in rows]
+    return sorted(((r[0], k, comp.get(r[0]), comp.get(r[0], r[0]) == r[0]) for r, k in zip(rows, n)), key=repr)
 
 
 def op2(rows, n=50):

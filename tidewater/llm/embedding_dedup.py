@@ -11,7 +11,8 @@ many homes or guests are cut into blocks (graph.deal). Tasks give each node's nu
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those with null label, link with nothing. A
 row with null vec_id links with nothing and is kept, its component is null. Rows that repeat a vec_id with the same
-vector are one vector; each comes out.
+vector are one vector; each comes out. Rows that repeat a vec_id with other vectors (or labels) have one component, so
+that their groups are one; n_links counts for each row the other vectors, by vec_id and components, that its own links to.
 """
 
 from __future__ import annotations
@@ -174,10 +175,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = S
     dealt = deal(placed, scratch.write(sizes, "sizes"), BLOCK).withColumn("bin", F.pmod("cell", F.lit(bins)).cast("int"))
     found = scratch.write(dealt.select("bin", "cell", "home", "id", "weight", "embedding", "at", "also").groupBy("bin").applyInArrow(run, "a long, b long, n long"), "found")
     links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    groups = components(found.filter("n IS NULL").select("a", "b"), scratch)
-    named = nodes.join(links, "node", "left").join(groups, "node", "left").select("vkey", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("c"))
-    out = rows.select("vec_id", "vkey").join(named, "vkey", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    ids = rows.filter("vkey IS NOT NULL").select("vec_id", "vkey").distinct()
+    several = ids.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")  # ids of more than one vector tie their nodes together
+    ties = ids.join(several, "vec_id").join(nodes.select("vkey", "node"), "vkey").select(F.col("node").alias("a"), F.col("vec_id").alias("b"))
+    groups = components(found.filter("n IS NULL").select("a", "b").unionByName(ties), scratch)
+    named = nodes.join(links, "node", "left").join(groups, "node", "left").select("vkey", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    good = rows.filter("vkey IS NOT NULL").select("vec_id", "vkey").join(named, "vkey").select("vec_id", "n_links", "component_id")
+    bad = rows.filter("vkey IS NULL").select("vec_id")
+    known = good.join(bad.distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("component_id").alias("c"))
+    lone = bad.join(known, "vec_id", "left").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    return good.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
