@@ -102,8 +102,11 @@ def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """Per row: row (a struct of all columns), n_words, n_hit, n_items, items (sorted), contaminated and spans (bytes and words: begin and end of each)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, pattern_bytes: int = PATTERN_BYTES, cut: bool = False) -> DataFrame:
+    """Per row: row (a struct of all columns), n_words, n_hit, n_items, items (sorted), contaminated and spans (bytes and words: begin and end of each).
+
+    With ``cut`` also left, the text without its hit runs; null for a null text.
+    """
     rows = docs.select(F.struct("*").alias("row"))
     items = ((r.item_id, (r.text or "").encode()) for r in benchmark.select("item_id", "text").toLocalIterator())
     groups = window_groups(items, n, pattern_bytes)
@@ -115,10 +118,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, patte
         found.destroy()
         scratch.drop(rows)
         rows, group = done, following
-    return scanned(rows, docs.sparkSession.sparkContext.broadcast(group))
+    return scanned(rows, docs.sparkSession.sparkContext.broadcast(group), cut)
 
 
-def scanned(rows: DataFrame, found) -> DataFrame:
+def scanned(rows: DataFrame, found, cut: bool = False) -> DataFrame:
     """row and what the windows of ``found`` (a broadcast) and those of earlier scans, if there were any, hit in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +129,9 @@ def scanned(rows: DataFrame, found) -> DataFrame:
         for batch in slices(batches, "row.text"):
             before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if "spans" in batch.schema.names else repeat(((), ()))
             cols: list[list] = [[] for _ in range(6)]
-            for text, (old_spans, old_items) in zip(as_bytes(column_of(batch, "row.text")), before):
+            left: list[bytes | None] = []
+            is_null = column_of(batch, "row.text").is_null().to_pylist()
+            for text, gone, (old_spans, old_items) in zip(as_bytes(column_of(batch, "row.text")), is_null, before):
                 n_words, runs, items = scan(machine, text)
                 runs = united(runs + [(s, e) for *_, s, e in old_spans])
                 items.update(old_items)
@@ -137,27 +142,30 @@ def scanned(rows: DataFrame, found) -> DataFrame:
                     spans = [[at[s][0], at[e - 1][1], s, e] for s, e in runs]
                 for c, v in zip(cols, (n_words, hit, len(items), sorted(items), hit > 0 and 20 * hit >= n_words, spans)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, f.type) for c, f in zip(cols, FOUND))], names=["row", *FOUND.names])
+                if cut:
+                    left.append(None if gone else cut_spans(text, spans))
+            more = [pa.array(left, pa.binary()).cast(pa.string())] if cut else []
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, f.type) for c, f in zip(cols, FOUND)), *more], names=["row", *FOUND.names, *["left"][: len(more)]])
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], *_parse_datatype_string(FOUND_SQL).fields]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *_parse_datatype_string(FOUND_SQL + (", left string" if cut else "")).fields]))
 
 
-def cut_spans(text: str, spans: list[list[int]], least: int = 1) -> str:
-    """A text without its hit runs of ``least`` words or more."""
-    b, at, out = text.encode(), 0, []
-    for s, e, first, last in spans:
-        if last - first >= least:
-            out.append(b[at:s])
-            at = e
-    return b"".join([*out, b[at:]]).decode("utf-8", "replace")
+def cut_spans(text: bytes, spans: list[list[int]]) -> bytes:
+    """A text without its hit runs. Runs begin and end at words, which hold whole characters."""
+    at, out = 0, []
+    for s, e, *_ in spans:
+        out.append(text[at:s])
+        at = e
+    return b"".join([*out, text[at:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """The documents without contaminated ones; the others lose every hit run, which is a whole window at least. Columns stay as they are."""
-    found = find_contamination(docs, benchmark, n).filter(~F.col("contaminated"))
-    cut = F.udf(lambda text, spans: cut_spans(text, spans), "string")  # few rows
-    text = F.when(F.size("spans") > 0, cut("row.text", "spans")).otherwise(F.col("row.text"))
-    return found.select(*(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
+    """The documents without contaminated ones; the others lose every hit run, which is a whole window at least. Columns stay as they are.
+
+    A null text stays null. Rows with null or repeated doc_id are treated like any other.
+    """
+    found = find_contamination(docs, benchmark, n, cut=True).filter(~F.col("contaminated"))
+    return found.select(*(F.col("left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
