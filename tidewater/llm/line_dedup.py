@@ -3,10 +3,15 @@
 A line's key is the line stripped of white space at both ends with A-Z lower-cased. Keys of at least ``min_chars``
 code points that at least ``min_docs`` documents hold lose all their lines except in the largest doc_id that holds them.
 
-Exact state: ``refs`` (key, doc_id), one row for each document that holds a long key, and ``counts`` (key, n_docs, max_doc).
-In front of it stand cuckoo filters, one per shard of the keys' hash space, that hold the keys counted in at least
-``min_docs`` documents. A line that the filter of its shard denies is kept at once; the others are decided by the exact
-table. Filters support deletion, so that removing documents lowers the counts and takes keys out again: see LineIndex.
+LineIndex is the state. Exact: ``refs`` (key, doc_id), one row for each document that holds a long key, and counts
+(key, n_docs, max_doc), of which every change writes the rows that it changes. In front stand cuckoo filters, one per
+shard of the keys' hash space, with the keys that are counted in ``min_docs`` documents; a change touches a filter only where
+a key crosses that number, up or down, and a filter that is full is built anew, twice as large, from the exact counts. A
+key that the filter of its shard denies is kept at once; the others are decided by the exact counts. Documents can be
+deleted again: what is left is what inserting the others alone would have given.
+
+dedup_lines() inserts documents into an empty index and asks it about them. Filters and distinct keys meet by shard, in
+one shuffle, whatever their size; a key that very many documents hold is one key there.
 
 Keys are 128-bit hashes of the stripped lines. Nulls: a null text is one empty line; a row with null doc_id belongs to
 no document: it counts for nothing and loses nothing. Rows that repeat a doc_id are one document; each comes out.
@@ -21,14 +26,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from .common import SPACE, Scratch, as_bytes, batch_of, column_of, read, slices
 
 KEYS = "key binary, doc_id long"
-#: Filters are sent to all executors below this size; above it, every long line goes to the exact table.
-FILTER_BYTES = 32 << 20
-SHARD_KEYS = 1 << 16
+#: Frequent keys of a shard when an index begins; keys that a task asks a filter about; tables of changes before they are merged.
+SHARD_KEYS, ASKED, PARTS = 1 << 13, 1 << 18, 16
 
 
 def key_of(line: bytes, min_chars: int) -> bytes | None:
@@ -138,35 +142,6 @@ def references(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, KEYS)
 
 
-def count(refs: DataFrame) -> DataFrame:
-    """The exact table: documents that hold a key, and the largest. The first grouping deals a hot key out by document."""
-    return refs.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-
-
-def build_filters(frequent: DataFrame, n: int) -> DataFrame:
-    """(shard, n, filter): a cuckoo filter for each shard of the frequent keys. Keys are distinct, so shards are even."""
-    shards = max(1, -(-n // SHARD_KEYS))
-
-    def build(key, table):
-        f = CuckooFilter.build(hash64(table.column("key").to_pylist()))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([shards], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
-
-    def add_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch_of(pa.schema([("key", pa.binary()), ("shard", pa.int32())]), batch.column("key"), shard_of(hash64(batch.column("key").to_pylist()), shards))
-
-    return frequent.select("key").mapInArrow(add_shard, "key binary, shard int").groupBy("shard").applyInArrow(build, "shard int, shards int, filter binary")
-
-
-def load_filters(spark: SparkSession, frequent: DataFrame) -> tuple[int, object | None]:
-    """The number of frequent keys, and the broadcast filters, or none if they would be too large for every executor."""
-    n = frequent.count()
-    if 6 * n > FILTER_BYTES:  # two bytes at a load of 0.43 or more, rounded up to a power of two
-        return n, None
-    rows = build_filters(frequent, n).collect() if n else []
-    return n, spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in rows})
-
-
 def finish(docs: DataFrame) -> DataFrame:
     """Rows (``row``, a struct) with ``drop``, the keys to be dropped: row, n_lines, n_dropped and the text that is left."""
 
@@ -188,92 +163,157 @@ def finish(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """row (a struct of all columns), n_lines, n_dropped and the text that is left, for every row of the documents."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    frequent = scratch.write(count(references(docs, min_chars)).filter(F.col("n_docs") >= min_docs), "frequent")
-    _, filters = load_filters(spark, frequent)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The long keys of each row that may be frequent."""
-        tables = filters and {k: CuckooFilter.load(v) for k, v in filters.value.items()}
-        for batch in slices(batches, "row.text"):
-            keys, rows = [], []
-            for row, (i, text) in enumerate(zip(column_of(batch, "row.doc_id").to_pylist(), as_bytes(column_of(batch, "row.text")))):
-                own = {k for line in text.split(b"\n") if len(line) >= min_chars and (k := key_of(line, min_chars))} if i is not None else ()
-                keys += own
-                rows += [row] * len(own)
-            if tables is None:
-                hit = np.ones(len(keys), bool)
-            else:
-                hashes = hash64(keys)
-                shards = shard_of(hashes, max(1, len(tables)))
-                hit = np.zeros(len(keys), bool)
-                for s, table in tables.items():
-                    own = shards == s
-                    hit[own] = table.contains(hashes[own])
-            found: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for j in np.flatnonzero(hit).tolist():
-                found[rows[j]].append(keys[j])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.binary()))], names=["row", "keys"])
-
-    rows = docs.select(F.struct("*").alias("row"))
-    probed = scratch.write(rows.mapInArrow(probe, StructType([*rows.schema.fields, StructField("keys", ArrayType(BinaryType()))])), "probed")
-    drops = (
-        probed.select("row.doc_id", F.explode("keys").alias("key"))
-        .join(frequent, "key")
-        .filter(F.col("doc_id") < F.col("max_doc"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("key").alias("drop"))
-    )
-    plain = probed.filter(F.size("keys") == 0).select("row", F.lit(None).cast("array<binary>").alias("drop"))
-    held = probed.filter(F.size("keys") > 0).select("row").join(drops, F.col("row.doc_id") == F.col("doc_id"), "left")
-    return finish(plain.unionByName(held.select("row", "drop")))
+def shard_column(keys: DataFrame, shards: int, parts: int = 1) -> DataFrame:
+    """key and more, with ``shard`` by the filters' own hash and ``part``."""
+    names = [c for c in keys.columns if c != "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = hash64(batch.column("key").to_pylist())
+            part = ((hashes >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(c) for c in names), pa.array(shard_of(hashes, shards)), pa.array(part)], names=["key", *names, "shard", "part"])
+
+    rows = keys.select("key", *names)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("shard", IntegerType()), StructField("part", IntegerType())]))
 
 
 class LineIndex:
-    """Reversible state for incremental dedup: ``refs``, ``counts`` and ``filters`` tables in versioned folders.
+    """Reversible state for incremental dedup, in tables below the shared folder.
 
-    A filter is changed only where a key crosses ``min_docs``, up or down. After insert(a), insert(b), delete(a) the exact
-    tables equal those of insert(b) alone, and the filters hold the same fingerprints.
+    After insert(a), insert(b), delete(a) counts() and the keys in the filters are those of insert(b) alone. Inserting a
+    document again changes nothing; deleting one that isn't there changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shards: int = 64):
+    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shards: int | None = None):
+        """shards: by default as many as the first insertion's frequent keys ask for."""
         self.spark, self.min_chars, self.min_docs, self.shards = spark, min_chars, min_docs, shards
         self.scratch = Scratch(spark, "line-index")
         self.refs = spark.createDataFrame([], KEYS)
-        self.filters = spark.createDataFrame([], "shard int, filter binary")
+        self.filters: DataFrame | None = None
+        self._counts: list[DataFrame] = []
+        self._refs: list[DataFrame] = []
 
-    def _move(self, refs: DataFrame) -> LineIndex:
-        old, new = (count(x).filter(F.col("n_docs") >= self.min_docs).select("key") for x in (self.refs, refs))
-        added = new.join(old, "key", "left_anti").withColumn("put", F.lit(True))
-        gone = old.join(new, "key", "left_anti").withColumn("put", F.lit(False))
-        shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
+    def counts(self) -> DataFrame:
+        """The exact table: key, n_docs, max_doc."""
+        if not self._counts:
+            return self.spark.createDataFrame([], "key binary, n_docs long, max_doc long")
+        return self._latest(None).filter("n_docs > 0")
+
+    def _latest(self, keys: DataFrame | None) -> DataFrame:
+        """The newest rows of all keys, or of some."""
+        rows = self._counts[0]
+        for part in self._counts[1:]:
+            rows = rows.unionByName(part)
+        if keys is not None:
+            rows = rows.join(keys, "key", "left_semi")
+        if len(self._counts) > 1:
+            rows = rows.groupBy("key").agg(F.max_by(F.struct("n_docs", "max_doc"), "version").alias("c")).select("key", "c.*")
+        return rows.select("key", "n_docs", "max_doc")
+
+    def insert(self, docs: DataFrame) -> LineIndex:
+        new = references(docs, self.min_chars).distinct()  # the distinct rows deal a hot key out by document
+        if self._refs:
+            new = new.join(self.refs, ["key", "doc_id"], "left_anti")
+        new = self.scratch.write(new, "refs")
+        self._hold([*self._refs, new])
+        more = new.groupBy("key").agg(F.count("*").alias("more"), F.max("doc_id").alias("top"))
+        if not self._counts:
+            return self._change(more.select("key", F.lit(0).cast("long").alias("before"), F.col("more").alias("n_docs"), F.col("top").alias("max_doc")))
+        more = self.scratch.write(more, "more")
+        both = more.join(self._latest(more.select("key")), "key", "left").withColumn("before", F.coalesce("n_docs", F.lit(0)))
+        return self._change(both.select("key", "before", (F.col("before") + F.col("more")).alias("n_docs"), F.greatest("max_doc", "top").alias("max_doc")))
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        if not self._counts:
+            return self
+        ids = self.scratch.write(doc_ids.select("doc_id").distinct(), "ids")
+        gone = self.scratch.write(self.refs.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.count("*").alias("less")), "gone")
+        self._hold([self.scratch.write(self.refs.join(ids, "doc_id", "left_anti").select("key", "doc_id"), "refs")])
+        top = self.refs.join(gone.select("key"), "key", "left_semi").groupBy("key").agg(F.max("doc_id").alias("top"))
+        both = gone.join(self._latest(gone.select("key")), "key").join(top, "key", "left")
+        return self._change(both.select("key", F.col("n_docs").alias("before"), (F.col("n_docs") - F.col("less")).alias("n_docs"), F.col("top").alias("max_doc")))
+
+    def _hold(self, refs: list[DataFrame]) -> None:
+        self._refs = refs
+        self.refs = refs[0]
+        for part in refs[1:]:
+            self.refs = self.refs.unionByName(part)
+        if len(refs) > PARTS:
+            self._refs = [self.scratch.write(self.refs, "refs")]
+            self.refs = self._refs[0]
+
+    def _change(self, rows: DataFrame) -> LineIndex:
+        """Takes up new counts (key, before, n_docs, max_doc) and moves the keys that cross ``min_docs``."""
+        rows = self.scratch.write(rows.withColumn("version", F.lit(len(self._counts))), "counts")
+        self._counts.append(rows.drop("before"))
+        if len(self._counts) > PARTS:
+            self._counts = [self.scratch.write(self.counts().withColumn("version", F.lit(0)), "counts")]
+        moved = rows.filter((F.col("before") >= self.min_docs) != (F.col("n_docs") >= self.min_docs)).select("key", (F.col("n_docs") >= self.min_docs).alias("put"))
+        if self.shards is None:
+            self.shards = max(1, -(-moved.count() // SHARD_KEYS))
+        schema = "shard int, filter binary"
 
         def change(key, filters, changes):
             held = filters.column("filter").to_pylist()
-            table = CuckooFilter.load(held[0]) if held else CuckooFilter(SHARD_KEYS)
             put = np.asarray(changes.column("put").combine_chunks().to_numpy(zero_copy_only=False), bool)
             hashes = hash64(changes.column("key").to_pylist())
-            table.delete(hashes[~put])
-            if not table.insert(hashes[put]):
-                raise ValueError("a filter shard is full: use more shards")
+            if held:
+                table = CuckooFilter.load(held[0])
+                table.delete(hashes[~put])
+                blob = table.dump() if table.insert(hashes[put]) else None  # full
+            else:
+                blob = CuckooFilter.build(hashes[put]).dump()
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([blob], pa.binary())})
+
+        def build(key, keys):
+            table = CuckooFilter.build(hash64(keys.column("key").to_pylist()))
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([table.dump()], pa.binary())})
 
-        changes = added.unionByName(gone).select("key", "put", shard)
-        filters = self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
-        self.filters, self.refs = self.scratch.write(filters, "filters"), refs
+        old = self.filters if self.filters is not None else self.spark.createDataFrame([], schema)
+        changes = shard_column(moved, self.shards).drop("part")
+        new = self.scratch.write(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, schema), "filters")
+        full = [r.shard for r in new.filter("filter IS NULL").select("shard").collect()]  # at most the number of shards
+        if full:
+            frequent = self.counts().filter(F.col("n_docs") >= self.min_docs).select("key")
+            larger = shard_column(frequent, self.shards).filter(F.col("shard").isin(full)).groupBy("shard").applyInArrow(build, schema)
+            new = self.scratch.write(new.filter("filter IS NOT NULL").unionByName(larger), "filters")
+        self.filters = new
         return self
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        return self._move(self.scratch.write(self.refs.unionByName(references(docs, self.min_chars)).distinct(), "refs"))
+    def not_denied(self, keys: DataFrame) -> DataFrame:
+        """Of distinct keys those that a filter holds, and few others."""
+        parts = max(1, -(-keys.count() // (ASKED * self.shards)))
 
-    def delete(self, doc_ids: DataFrame) -> LineIndex:
-        return self._move(self.scratch.write(self.refs.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select("key", "doc_id"), "refs"))
+        def ask(key, filters, keys):
+            table = CuckooFilter.load(filters.column("filter").to_pylist()[0]) if filters.num_rows else CuckooFilter(0)
+            own = keys.column("key").to_pylist()
+            hit = table.contains(hash64(own)) if own else np.zeros(0, bool)
+            return pa.table({"key": pa.array([k for k, h in zip(own, hit.tolist()) if h], pa.binary())})
 
-    def counts(self) -> DataFrame:
-        return count(self.refs)
+        filters = self.filters.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return filters.groupBy("shard", "part").cogroup(shard_column(keys.select("key"), self.shards, parts).groupBy("shard", "part")).applyInArrow(ask, "key binary")
+
+    def dedup(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+        """row (a struct of all columns), n_lines, n_dropped and the text that is left, for every row of the documents.
+
+        refs: (key, doc_id) of the documents, where they are known.
+        """
+        rows = docs.select(F.struct("*").alias("row"))
+        if self.filters is None:
+            return finish(rows.withColumn("drop", F.lit(None).cast("array<binary>")))
+        refs = self.scratch.write(references(docs, self.min_chars).distinct(), "asked") if refs is None else refs
+        maybe = self.scratch.write(self.not_denied(refs.select("key").distinct()), "maybe")
+        frequent = self.scratch.write(self._latest(maybe).filter(F.col("n_docs") >= self.min_docs).select("key", "max_doc"), "frequent")
+        drops = refs.join(frequent, "key").filter(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+        drops = self.scratch.write(drops, "drops")
+        named = rows.filter("row.doc_id IS NOT NULL").join(drops, F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "drop")
+        return finish(named.unionByName(rows.filter("row.doc_id IS NULL").withColumn("drop", F.lit(None).cast("array<binary>"))))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """row (a struct of all columns), n_lines, n_dropped and the text that is left, for every row of the documents."""
+    index = LineIndex(docs.sparkSession, min_chars, min_docs).insert(docs)
+    return index.dedup(docs, index.refs)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
