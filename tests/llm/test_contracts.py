@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tidewater.llm import packing, sharing, simhash, suffix_dedup
+from tidewater.llm import packing, sharing, simhash, substring_dedup, suffix_dedup
 from tidewater.llm.queries import ORACLE_SQL, QUERIES
 
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, key string, keys string, drop string, row string, score string, label string, h string, chunk string"
@@ -78,12 +78,24 @@ def test_suffix_dedup(spark, folder, monkeypatch, small):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_substring_dedup(spark, folder, monkeypatch, small):
-    if small:
-        for k, v in (("CHUNK", 1500), ("SLAB", 700), ("BUCKET", 200)):
+    if small:  # many chunks and bins, and every anchor split
+        for k, v in (("CHUNK", 1500), ("SLAB", 700)):
             monkeypatch.setattr(sharing, k, v)
+        monkeypatch.setattr(substring_dedup, "BIN", 5)
+        monkeypatch.setattr(substring_dedup, "LOTS", 1)
     assert result(spark, "op10_substring_dedup", folder) == brute.op10(documents())
 
 
+def test_words_that_polynomial_hashes_confuse(spark, tmp_path):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rest = " ".join(f"r{i}" for i in range(34))
+    rows = [(1, "".join("ab"[b] for b in bits) + " " + rest), (2, "".join("ba"[b] for b in bits) + " " + rest), (3, " ".join("ab"[b] for b in bits)), (4, " ".join("ba"[b] for b in bits))]
+    write(spark, str(tmp_path), rows, "doc_id long, text string", "documents")
+    assert result(spark, "op10_substring_dedup", str(tmp_path)) == brute.op10(rows)
+    assert [r[2] for r in brute.op10(rows)][:2] == [0, 0]
+
+
 @pytest.mark.parametrize("block, sparse", [(4096, 1 << 24), (2, 1 << 24), (4096, 0), (2, 0)])
 def test_simhash(spark, folder, monkeypatch, block, sparse):
     monkeypatch.setattr(simhash, "BLOCK", block)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import brute
 from tidewater.llm import decontaminate, graph, html_extract, line_dedup, sharing, substring_dedup, suffix_dedup
 from tidewater.llm.common import Scratch
 
@@ -20,17 +21,40 @@ def test_cuckoo_filter_holds_and_forgets():
     assert g.contains(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)).mean() < 0.01
 
 
-def test_line_index_is_reversible(spark):
-    line = "a line of more than forty characters, shared by all"
-    docs = lambda ids: spark.createDataFrame([(i, f"{line}\nown line number {i} which is long enough to count") for i in ids], "doc_id long, text string")
-    both = line_dedup.LineIndex(spark, shards=2).insert(docs(range(4))).insert(docs(range(4, 7)))
-    frequent = lambda x: sum(r.n_docs >= 5 for r in x.counts().collect())
-    held = lambda x: sum(int((line_dedup.CuckooFilter.load(bytes(r.filter)).table > 0).sum()) for r in x.filters.collect())
-    assert frequent(both) == 1 and held(both) == 1
-    both.delete(docs(range(3)).select("doc_id"))
-    alone = line_dedup.LineIndex(spark, shards=2).insert(docs(range(3, 7)))
-    assert sorted(map(tuple, both.counts().collect())) == sorted(map(tuple, alone.counts().collect()))
-    assert frequent(both) == 0 and held(both) == 0
+def filter_of(index):
+    """Fingerprints held, and the number of frequent keys that the filters deny."""
+    tables = {r.shard: line_dedup.CuckooFilter.load(bytes(r.filter)) for r in index.filters.collect()}
+    held = sum(int((t.table > 0).sum()) for t in tables.values())
+    keys = line_dedup.hash64([bytes(r.key) for r in index.counts().collect() if r.n_docs >= index.min_docs])
+    shards = line_dedup.shard_of(keys, index.shards)
+    return held, len(keys), sum(not tables[s].contains(keys[i : i + 1])[0] for i, s in enumerate(shards.tolist()))
+
+
+@pytest.mark.parametrize("parts", [16, 2])
+def test_line_index_is_reversible(spark, monkeypatch, parts):
+    monkeypatch.setattr(line_dedup, "PARTS", parts)
+    rng = random.Random(6)
+    lines = [f"line number {i} of many, long enough to be counted as one" for i in range(60)]
+    docs = [(i, "\n".join(rng.sample(lines, 9))) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=2)
+    index.insert(frame(docs[:30])).insert(frame(docs[20:])).delete(frame(docs[10:35] + [(999, None)]).select("doc_id")).insert(frame(docs[12:14]))
+    left = docs[:10] + docs[12:14] + docs[35:]
+    alone = line_dedup.LineIndex(spark, shards=2).insert(frame(left))
+    assert sorted(map(tuple, index.counts().collect())) == sorted(map(tuple, alone.counts().collect()))
+    assert sorted(map(tuple, index.refs.collect())) == sorted(map(tuple, alone.refs.collect()))
+    held, frequent, denied = filter_of(index)
+    assert held == frequent > 10 and denied == 0
+    got = index.dedup(frame(left)).select("row.doc_id", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, got)) == [r[:3] for r in sorted(brute.op4(left))]
+    assert sorted(map(tuple, index.delete(frame(docs).select("doc_id")).counts().collect())) == [] and filter_of(index)[:2] == (0, 0)
+
+
+def test_a_full_shard_grows(spark, monkeypatch):
+    frame = lambda n, to: spark.createDataFrame([(i, "\n".join(f"line number {k} of many, long enough to be counted" for k in range(n, to))) for i in range(5)], "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=1).insert(frame(0, 20)).insert(frame(20, 400))
+    assert filter_of(index) == (400, 400, 0)
+    assert filter_of(index.delete(frame(0, 1).select("doc_id")))[:2] == (0, 0)
 
 
 def test_suffix_sort_is_the_byte_order():
@@ -57,17 +81,53 @@ def test_a_hash_collision_is_found(monkeypatch):
     assert [strings[i] for i in order] == sorted(strings)
 
 
-def test_interior_symbols_agree_in_equal_windows():
-    rng = np.random.default_rng(4)
-    shared = rng.integers(0, 50, 60).astype(np.uint64)
-    found = []
-    for _ in range(40):
-        before, after = (rng.integers(0, 50, rng.integers(0, 30)).astype(np.uint64) for _ in range(2))
-        name = sharing.mix(np.concatenate([before, shared, after]))
-        left = len(before) + np.arange(60 - 34)
-        names, a, b = substring_dedup.zones(name, np.zeros(len(name), np.int64), left, left + 35)
-        found.append([names[p:q].tolist() for p, q in zip(a, b)])
-    assert all(f == found[0] for f in found) and sum(map(len, found[0])) > 26
+def local_rounds(docs, n):
+    """The naming rounds in one process: the entries of each document's chunk, and how often each window is held by them."""
+    first = [substring_dedup.begin([d]) for d in docs]
+    states, asked, numbers = [f[0] for f in first], [(f[1], f[2]) for f in first], 0
+    for r in range(substring_dedup.ROUNDS + 1):
+        total = {}
+        for contents, times in asked:
+            for c, t in zip(contents, times.tolist()):
+                c = c if isinstance(c, bytes) else c.tobytes()
+                total[c] = total.get(c, 0) + t
+        names = {c: i + 1 + numbers for i, c in enumerate(sorted(c for c, t in total.items() if t > 1))}
+        numbers += len(names)
+        new = []
+        for s, (contents, _) in zip(states, asked):
+            keys = [c if isinstance(c, bytes) else c.tobytes() for c in contents]
+            name = np.array([names.get(c, 0) for c in keys], np.uint64)
+            rare = np.array([int(np.log2(total[c])) for c in keys], np.uint8)
+            s = substring_dedup.thaw(substring_dedup.freeze(s))
+            new.append(substring_dedup.take_names(s, name, rare, n) if r else substring_dedup.name_words(s, name, rare, n))
+        if r < substring_dedup.ROUNDS:
+            stepped = [substring_dedup.advance(s, r) for s in new]
+            states, asked = [x[0] for x in stepped], [(list(x[1]), x[2]) for x in stepped]
+    return [substring_dedup.entries(s, n) for s in new]
+
+
+@pytest.mark.parametrize("letters, n", [(3, 6), (40, 9), (500, 35), (2, 35)])
+def test_rounds_keep_every_window_that_repeats(letters, n):
+    rng = random.Random(letters)
+    shared = [rng.randrange(letters) for _ in range(3 * n)]
+    docs = []
+    for _ in range(12):
+        own = [rng.randrange(letters) for _ in range(rng.randrange(2 * n))] + [0] * rng.randrange(2 * n)
+        cut = rng.randrange(2 * n)
+        docs.append([str(w).encode() for w in own + shared[cut : cut + rng.randrange(n, 2 * n)] + own[:5]])
+    held = {}
+    for d, own in enumerate(docs):
+        for s in range(len(own) - n + 1):
+            held.setdefault(tuple(own[s : s + n]), []).append((d, s))
+    want = {p for places in held.values() if len(places) > 1 for p in places}
+    rows = [(d, i, *e, t) for d, (_, found, times) in enumerate(local_rounds(docs, n)) for i, (e, t) in enumerate(zip(found, times.tolist()))]
+    kept = {(d, s + w) for d, (where, _, _) in enumerate(local_rounds(docs, n)) for s, c in zip(where["start"].tolist(), where["count"].tolist()) for w in range(c)}
+    assert want <= kept
+    columns = list(zip(*rows))
+    hits = substring_dedup.repeated(*(np.array(columns[k]) for k in (2, 3, 4)), list(columns[5]), np.array(columns[6]), n)
+    hit = {(d, i): set(h) for (d, i, *_), h in zip(rows, hits)}
+    got = {(d, s + w) for d, (where, _, _) in enumerate(local_rounds(docs, n)) for s, e, c in zip(where["start"].tolist(), where["entry"].tolist(), where["count"].tolist()) for w in range(c) if w in hit[d, e]}
+    assert got == want
 
 
 def test_spanning_and_components(spark):

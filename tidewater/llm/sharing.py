@@ -1,6 +1,6 @@
 """Chunks of documents that ask each other which of their hashes others hold too.
 
-Documents are dealt by the hash of their doc_id into chunks of about CHUNK bytes. A chunk states each of its distinct
+Documents are dealt by the hash of their doc_id and text into chunks of about CHUNK bytes. A chunk states each of its distinct
 hashes once, packed into one blob for each bucket of the hash space; a bucket's task finds out which hashes several chunks
 state, and answers each chunk with a byte for each of its hashes. However often a hash occurs, a bucket sees it once
 per chunk at most. All rows of a chunk, texts and answers, meet in one group.
@@ -78,8 +78,10 @@ def expand(b: bytes, dtype=None) -> np.ndarray | bytes:
     return out if dtype is None else np.frombuffer(out, dtype)
 
 
-def chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
-    return (mix(ids.view(U), 1) % U(chunks)).astype(np.int32)
+def chunk_of(ids: np.ndarray, digests: list[bytes], chunks: int) -> np.ndarray:
+    """By doc_id and text, so that a doc_id that very many texts have is dealt out."""
+    text = np.frombuffer(b"".join(d[:8] for d in digests), U)
+    return (mix(ids.view(U) ^ mix(text, 2), 1) % U(chunks)).astype(np.int32)
 
 
 class Layout:
@@ -99,7 +101,7 @@ def text_rows(docs: DataFrame, chunks: int) -> DataFrame:
         for batch in slices(batches, "text", 16 << 20):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             texts = as_bytes(batch.column("text"))
-            own = chunk_of(ids, chunks)
+            own = chunk_of(ids, [sha256(x).digest() for x in texts], chunks)
             order = np.argsort(own, kind="stable")
             rows: list[list] = [[] for _ in range(6)]
             for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
@@ -121,7 +123,7 @@ def copy_rows(docs: DataFrame, chunks: int, scratch: Scratch) -> DataFrame:
         for batch in batches:
             ids, low = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "low"))
             digests = batch.column("h").to_pylist()
-            own = chunk_of(ids, chunks)
+            own = chunk_of(ids, digests, chunks)
             order = np.argsort(own, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(ids) else ():
                 yield batch_of(ROW, [own[part[0]]], [COPIES], [0], [ids[part].tobytes()], [low[part].tobytes()], [b"".join(digests[i] for i in part.tolist())])
@@ -160,13 +162,16 @@ class Chunk:
         """Whether a document with a smaller doc_id has the same text."""
         return self.lowest(doc_id, text) not in (None, doc_id)
 
+    def compared(self) -> list[int]:
+        """Numbers of the documents that are compared: copies are left out, repeated rows too."""
+        return [k for k, (i, text) in enumerate(self.docs) if not (k and self.docs[k - 1] == (i, text) or self.is_copy(i, text))]
+
     def slabs(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Numbers of documents (copies left out, repeated rows too), their bytes and where each begins, with the end."""
+        """Numbers of the compared documents, their bytes and where each begins, with the end."""
         own: list[int] = []
         size = 0
-        for k, (i, text) in enumerate(self.docs):
-            if k and self.docs[k - 1] == (i, text) or self.is_copy(i, text):
-                continue
+        for k in self.compared():
+            text = self.docs[k][1]
             if own and size + len(text) > SLAB:
                 yield self._slab(own)
                 own, size = [], 0

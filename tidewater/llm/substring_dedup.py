@@ -1,15 +1,23 @@
-"""Substring dedup by recompression.
+"""Substring dedup by recompression: Spark rounds name runs and pairs, shared names reveal and verify long repeats.
 
-A text is a row of words, and each round gives names to neighbours: first every run of one word becomes one symbol, then,
-round by round, a left-class symbol followed by a right-class one becomes one symbol. Classes and names are hashes of the
-symbols and so the same everywhere; no round needs a table or a shuffle. Within equal runs of words, all symbols agree
-but a few at either end: the first symbol may have joined what stands before it, the last what stands after it. For
-each window of ``n`` words, ``zones`` keeps the symbols that only the window decides.
+A text is a row of words. In the first round every distinct word of the corpus that occurs more than once gets a name, a
+number; in each further round first every run of one symbol is a block, then every left-class symbol followed by a right-class
+one is a pair, and every distinct block and pair that occurs more than once gets a name. Names are given by Spark: the
+chunks of documents state their distinct words, blocks or pairs by content, one aggregation over all of them counts and
+numbers them, and a join takes the names back. So a name means one sequence of words wherever it stands, without hashes.
 
-The symbols of the last round are counted over all documents (sharing.answer). A window that repeats has all its interior
-symbols in two places at least; the others are out. The remaining windows, those without interior symbols included,
-are verified: 128-bit hashes of their words, of which 96 bits and the bucket travel, are counted over all documents.
-Words under a window that occurs again go.
+Classes depend on names alone. Within equal runs of words, all symbols agree but a few at either end: the first symbol
+may have joined what stands before it, the last what stands after. For each window of ``n`` words ``advance`` keeps
+the zone of symbols that only the window decides. A window that repeats has only repeating symbols in its zone. One with
+a symbol that has got no name is dropped, and only words and symbols under the windows that are left go into the next round.
+
+After the rounds, each window has an anchor, the rarest symbol of its last zone. Neighbouring windows with one anchor
+are an entry, the row of word names that they span. Entries with the same anchor are put side by side and compared word by
+word, outwards from the anchor, so that windows are equal where their words are. Equal entries are counted before. An
+anchor of more than LOTS different entries is split: each of its windows is then counted by its own row of names.
+
+Exact copies of whole texts are found before by SHA-256, and one of them is compared (sharing.copy_rows); entries are
+told apart by SHA-256 on their way back to the chunks. Words under a window that occurs again go.
 
 Nulls: a null text has no words. A row with null doc_id takes no part and keeps its words. Rows that repeat doc_id and
 text are one document; each comes out. Rows that repeat a doc_id with other texts are documents of their own.
@@ -17,6 +25,7 @@ text are one document; each comes out. Rows that repeat a doc_id with other text
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,156 +34,370 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_of, read, slices
-from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, mix, prefix, rows_table, span_hash, state, text_rows
+from .common import Scratch, as_bytes, batch_of, ranges, read, slices
+from .sharing import FIRST, Chunk, Layout, U, copy_rows, expand, mix, squeeze, text_rows
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-ROUNDS = 6
-IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Rounds of blocks and pairs; different entries of an anchor beyond which it is split; entries of a bin.
+ROUNDS, LOTS, BIN = 4, 10_000, 20_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 OUT_SQL = "doc_id long, n_words long, n_removed long, text string"
-#: Symbols a byte of text gives, about, for the number of buckets.
-DENSITY = 0.05
-
-
-def words_of(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each word, its document, and where each document's words begin."""
-    space = IS_SPACE[a]
-    first = np.zeros(len(a) + 1, bool)
-    first[at] = True
-    word = ~space
-    before = np.concatenate([[True], space[:-1]]) | first[:-1]
-    start = np.flatnonzero(word & before)
-    after = np.concatenate([space[1:], [True]]) | first[1:]
-    end = np.flatnonzero(word & after) + 1
-    h = [mix(span_hash(prefix(BYTES[w][a], w), start, end, w) + U(0x51ED) * (end - start).astype(U), w) for w in (0, 1)]
-    doc = np.searchsorted(at, start, side="right") - 1
-    return h[0], h[1], doc, np.searchsorted(start, at)
-
-
-def zones(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names after the last round, and for each window of words [left, right) its interior symbols [left, right)."""
+#: What a chunk gives in a round: its state (``no`` is -1), and the contents that it wants names for, with how often each occurs.
+STEP = pa.schema([("chunk", pa.int32()), ("no", pa.int32()), ("x", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
+STEP_SQL = "chunk int, no int, x binary, n long, state binary"
+ENTRY = pa.schema([("chunk", pa.int32()), ("no", pa.int32()), ("anchor", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("words", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
+ENTRY_SQL = "chunk int, no int, anchor long, before int, count int, words binary, n long, state binary"
+
+Arrays = dict[str, np.ndarray]
+#: Arrays whose differences are small.
+RISING = ("at", "first", "start", "left", "right", "s_start", "s_place")
+
+
+def freeze(state: Arrays) -> bytes:
+    return squeeze(pickle.dumps({k: np.diff(v, prepend=v.dtype.type(0)) if k in RISING else v for k, v in state.items()}))
+
+
+def thaw(blob: bytes) -> Arrays:
+    return {k: np.cumsum(v, dtype=v.dtype) if k in RISING else v for k, v in pickle.loads(expand(blob)).items()}
+
+
+def begin(docs: list[list[bytes]]) -> tuple[Arrays, list[bytes], np.ndarray]:
+    """The words of documents as numbers and where each document begins; the distinct words and how often each occurs."""
+    numbers: dict[bytes, int] = {}
+    codes = np.array([numbers.setdefault(w, len(numbers)) for own in docs for w in own], np.int32)
+    start = np.cumsum([0, *map(len, docs)])
+    return {"codes": codes, "start": start}, list(numbers), np.bincount(codes, minlength=len(numbers))
+
+
+def name_words(state: Arrays, name: np.ndarray, rare: np.ndarray, n: int) -> Arrays:
+    """The state of the first round: windows all of whose words have names.
+
+    ``at``, ``word``: places and names of the words under windows. Symbols: ``name``, ``rare`` (2 to this power is about how
+    often it occurs), ``first`` (place of its first word), ``new`` (nothing stands before it). Windows: ``start`` (place),
+    their zone of symbols [``left``, ``right``). Windows that have got their anchor: ``s_start``, ``s_place`` (of the
+    anchor), ``s_name``, ``s_rare``.
+    """
+    codes, begins = state["codes"], state["start"]
+    names = name[codes]
+    missing = np.concatenate([[0], np.cumsum(names == 0)])
+    start = np.arange(max(0, len(codes) - n + 1))
+    doc = np.searchsorted(begins, start, side="right")
+    start = start[(start + n <= begins[np.minimum(doc, len(begins) - 1)]) & (missing[start + n] == missing[start])]
+    used = cover(start, n, len(codes))
+    at = np.flatnonzero(used)
+    index = np.cumsum(used) - 1
+    new = np.zeros(len(codes) + 1, bool)
+    new[begins] = True
+    none = np.zeros(0, np.int64)
+    return {
+        "at": at, "word": names[at], "name": names[at], "rare": rare[codes[at]], "first": at, "new": new[at] | np.concatenate([[True], np.diff(at) > 1])[: len(at)],
+        "start": start, "left": index[start], "right": index[start] + n, "s_start": none, "s_place": none, "s_name": np.zeros(0, U), "s_rare": np.zeros(0, np.uint8),
+    }
+
+
+def cover(start: np.ndarray, n: int | np.ndarray, size: int) -> np.ndarray:
+    """What the ranges of ``n`` from each start cover."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, np.minimum(start + n, size), -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def anchors(s: Arrays, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The rarest symbol of each zone, the leftmost of equal ones."""
+    if not len(left):
+        return np.zeros(0, np.int64)
+    bits = max(1, int(len(s["name"])).bit_length())
+    h = (s["rare"].astype(U) << U(58)) | (mix(s["name"], 3) >> U(6))
+    low = [(h >> U(bits) << U(bits)) | np.arange(len(h), dtype=U)]
+    most = int((right - left).max())
+    while 1 << len(low) <= most:
+        half = 1 << (len(low) - 1)
+        low.append(np.minimum(low[-1][:-half], low[-1][half:]))
+    level = np.frexp((right - left).astype(float))[1] - 1
+    out = np.zeros(len(left), U)
+    for k, own in enumerate(low):
+        i = np.flatnonzero(level == k)
+        out[i] = np.minimum(own[left[i]], own[right[i] - (1 << k)])
+    return (out & U((1 << bits) - 1)).astype(np.int64)
+
+
+def settle(s: Arrays, done: np.ndarray) -> Arrays:
+    """Gives windows their anchors in the zones as they are, and takes them out of the rounds."""
+    a = anchors(s, s["left"][done], s["right"][done])
+    out = dict(s)
+    for k, v in (("s_start", s["start"][done]), ("s_place", s["first"][a]), ("s_name", s["name"][a]), ("s_rare", s["rare"][a])):
+        out[k] = np.concatenate([s[k], v])
+    for k in ("start", "left", "right"):
+        out[k] = s[k][~done]
+    return out
+
+
+def advance(s: Arrays, r: int) -> tuple[Arrays, np.ndarray, np.ndarray]:
+    """One round: the state with new symbols, those without a name yet as ``wants`` (else -1); their distinct contents and how often each occurs.
+
+    A content is two names and two lengths: a pair of blocks, or one block.
+    """
+    name, rare, first, new = (s[k] for k in ("name", "rare", "first", "new"))
     if not len(name):
-        return name, left, right
-    # runs: the first and the last run of a window may go on outside
-    new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])
-    index = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(name)))
-    left, right = index[left] + 1, index[right - 1]
-    name, doc = mix(name[first] + length.astype(U) * U(0xD6E8FEB86659FD93), 11), doc[first]
-    for r in range(rounds):
-        is_right = (mix(name, 100 + r) & U(1)).astype(bool)
-        joins = np.concatenate([~is_right[:-1] & is_right[1:] & (doc[1:] == doc[:-1]), [False]])  # with the next
-        joined = np.concatenate([[False], joins[:-1]])
-        index = np.cumsum(~joined) - 1
-        open_ = left < right
-        # a right-class symbol at the beginning may belong to what stands before, a left-class one at the end to what comes after
-        left = left + (open_ & is_right[np.minimum(left, len(name) - 1)])
-        open_ = left < right
-        right = right - (open_ & ~is_right[np.maximum(right - 1, 0)])
-        open_ = left < right
-        left, right = np.where(open_, index[np.minimum(left, len(name) - 1)], 0), np.where(open_, index[np.maximum(right - 1, 0)] + 1, 0)
-        first = np.flatnonzero(~joined)
-        second = np.minimum(first + 1, len(name) - 1)
-        name, doc = np.where(joins[first], mix(name[first] * U(0xA24BAED4963EE407) + mix(name[second], 7), 200 + r), name[first]), doc[first]
-    return name, left, right
-
-
-class Slab:
-    """Words, windows and symbols of some documents."""
-
-    def __init__(self, own: list[int], a: np.ndarray, at: np.ndarray, n: int):
-        self.own = own
-        self.h1, self.h2, self.doc, self.begin = words_of(a, at)
-        starts = np.arange(max(0, len(self.doc) - n + 1))
-        self.windows = starts[self.doc[starts] == self.doc[starts + n - 1]]
-        self.names, self.left, self.right = zones(self.h1, self.doc, self.windows, self.windows + n)
-
-    def candidates(self, shared: np.ndarray) -> np.ndarray:
-        """The windows all of whose interior symbols are shared."""
-        alone = np.concatenate([[0], np.cumsum(~shared)])
-        return self.windows[alone[np.maximum(self.left, self.right)] == alone[self.left]] if len(self.windows) else self.windows
-
-    def window_hashes(self, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(mix(span_hash(prefix(h, w), starts, starts + n, w), 31 + w) for w, h in enumerate((self.h1, self.h2)))
-
-
-def slabs(chunk: Chunk, n: int) -> Iterator[Slab]:
-    for own, a, at in chunk.slabs():
-        yield Slab(own, a, at, n)
+        return s | {"wants": np.zeros(0, np.int32)}, np.zeros((0, 4), U), np.zeros(0, np.int64)
+    # blocks; the first and the last block of a window may go on outside
+    head = new | np.concatenate([[True], name[1:] != name[:-1]])
+    block = np.cumsum(head) - 1
+    b = np.flatnonzero(head)
+    length = np.diff(np.append(b, len(name)))
+    left, right = block[s["left"]] + 1, block[s["right"] - 1]
+    # pairs; a right-class block at the beginning may belong to what stands before, a left-class one at the end to what comes after
+    b_name, b_new = name[b], new[b]
+    is_right = (mix(b_name + length.astype(U) * U(0xD6E8FEB86659FD93), 100 + r) & U(1)).astype(bool)
+    joins = np.concatenate([~is_right[:-1] & is_right[1:] & ~b_new[1:], [False]])  # with the next
+    joined = np.concatenate([[False], joins[:-1]])
+    last = len(b) - 1
+    left = left + ((left < right) & is_right[np.minimum(left, last)])
+    right = right - ((left < right) & ~is_right[np.maximum(right - 1, 0)])
+    index = np.cumsum(~joined) - 1
+    open_ = left < right
+    s = settle(s, ~open_)
+    left, right = index[left[open_]], index[right[open_] - 1] + 1
+    p = np.flatnonzero(~joined)
+    q = np.minimum(p + 1, last)
+    pair = joins[p]
+    content = np.stack([b_name[p], np.where(pair, b_name[q], U(0)), length[p].astype(U), np.where(pair, length[q], 0).astype(U)], 1)
+    wants = pair | (length[p] > 1)
+    rows = content[wants]
+    number, which, times = distinct_rows(rows)
+    out = s | {"name": np.where(wants, U(0), b_name[p]), "rare": rare[b[p]], "first": first[b[p]], "new": b_new[p], "left": left, "right": right}
+    out["wants"] = np.full(len(p), -1, np.int32)
+    out["wants"][wants] = number
+    return out, rows[which], times
+
+
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each row among the distinct ones, where each of those stands, and how often it occurs."""
+    if not len(rows):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = np.zeros(len(rows), U)
+    for c in rows.T:
+        h = mix(h * U(0x9E3779B97F4A7C15) + c)
+    order = np.argsort(h, kind="stable")
+    same = (rows[order][1:] == rows[order][:-1]).all(axis=1)
+    if ((h[order][1:] == h[order][:-1]) & ~same).any():  # a collision: sort by the contents themselves
+        order = np.lexsort(rows.T)
+        same = (rows[order][1:] == rows[order][:-1]).all(axis=1)
+    head = np.concatenate([[True], ~same])
+    number = np.empty(len(rows), np.int32)
+    number[order] = np.cumsum(head) - 1
+    at = np.flatnonzero(head)
+    return number, order[at], np.diff(np.append(at, len(rows)))
+
+
+def take_names(s: Arrays, name: np.ndarray, rare: np.ndarray, n: int) -> Arrays:
+    """The state with the names that came back (0: the content occurs once), without windows that hold a symbol without a name."""
+    s = dict(s)
+    wants = s.pop("wants")
+    asked = wants >= 0
+    s["name"], s["rare"] = s["name"].copy(), s["rare"].copy()
+    s["name"][asked], s["rare"][asked] = name[wants[asked]], rare[wants[asked]]
+    missing = np.concatenate([[0], np.cumsum(s["name"] == 0)])
+    live = missing[s["right"]] == missing[s["left"]]
+    for k in ("start", "left", "right"):
+        s[k] = s[k][live]
+    # symbols in zones, words under windows
+    used = cover(s["left"], s["right"] - s["left"], len(s["name"]))
+    index = np.cumsum(used) - 1
+    gap = np.concatenate([[True], np.diff(np.flatnonzero(used)) > 1])[: int(used.sum())]
+    for k in ("name", "rare", "first", "new"):
+        s[k] = s[k][used]
+    s["new"] = s["new"] | gap
+    s["left"], s["right"] = index[s["left"]], index[s["right"] - 1] + 1
+    start = np.concatenate([s["start"], s["s_start"]])
+    size = int(s["at"][-1]) + 1 if len(s["at"]) else 0
+    held = cover(start, n, size)[s["at"]]
+    s["at"], s["word"] = s["at"][held], s["word"][held]
+    return s
+
+
+def entries(s: Arrays, n: int) -> tuple[Arrays, list[tuple[int, int, int, bytes]], np.ndarray]:
+    """Distinct entries (anchor, windows' words before it, windows, word names), how often each occurs, and where (``low``, ``entry``, ``count``)."""
+    s = settle(s, np.ones(len(s["start"]), bool))
+    order = np.argsort(s["s_start"], kind="stable")
+    start, place, name = (s[k][order] for k in ("s_start", "s_place", "s_name"))
+    head = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(place) != 0) | (name[1:] != name[:-1])])[: len(start)]
+    f = np.flatnonzero(head)
+    count = np.diff(np.append(f, len(start)))
+    low = start[f]
+    row = np.searchsorted(s["at"], low)
+    found: dict[tuple[int, int, int, bytes], int] = {}
+    own = [
+        found.setdefault((a, p - x, c, s["word"][i : i + c + n - 1].tobytes()), len(found))
+        for a, p, x, c, i in zip(name[f].view(np.int64).tolist(), place[f].tolist(), low.tolist(), count.tolist(), row.tolist())
+    ]
+    entry = np.array(own, np.int32)
+    return {"start": low, "entry": entry, "count": count.astype(np.int32)}, list(found), np.bincount(entry, minlength=len(found))
+
+
+def repeated(anchor: np.ndarray, before: np.ndarray, count: np.ndarray, words: list[bytes], times: np.ndarray, n: int) -> list[list[int]]:
+    """Of different entries: the numbers of the windows that occur in several or in one that occurs several times."""
+    m = len(words)
+    size = count + n - 1
+    flat = np.unique(np.frombuffer(b"".join(words), np.int64), return_inverse=True)[1].astype(np.int32) + 1
+    begin_ = np.cumsum(size) - size
+    place = begin_ + before
+    step = np.arange(n)
+    ahead = np.where(step < (size - before)[:, None], flat[np.minimum(place[:, None] + step, len(flat) - 1)], 0)
+    back = np.where(step < before[:, None], flat[np.maximum(place[:, None] - 1 - step, 0)], 0)
+    classes = []
+    for strings in (ahead, back):
+        order = np.lexsort((*strings.T[::-1], anchor))
+        same = (strings[order][1:] == strings[order][:-1]) & (strings[order][1:] > 0)
+        shared = np.concatenate([[-1], np.where(anchor[order][1:] == anchor[order][:-1], np.cumprod(same, axis=1).sum(axis=1), -1)])
+        classes.append((order, shared))
+    out: list[list[int]] = [[] for _ in range(m)]
+    for a in range(int(before.max(initial=-1)) + 1):
+        window = before - a
+        has = np.flatnonzero((window >= 0) & (window < count))
+        key = np.zeros(m, np.int64)
+        for (order, shared), length in zip(classes, (n - a, a)):
+            cls = np.empty(m, np.int64)
+            cls[order] = np.cumsum(shared < max(length, 0))
+            key = key * (m + 1) + cls
+        _, at = np.unique(key[has], return_inverse=True)
+        hit = has[np.bincount(at, times[has])[at] > 1]
+        for e, w in zip(hit.tolist(), window[hit].tolist()):
+            out[e].append(w)
+    return out
+
+
+def words_of(chunk: Chunk) -> list[list[bytes]]:
+    """The words of the documents that are compared, in order."""
+    return [WORDS.findall(chunk.docs[k][1]) for k in chunk.compared()]
+
+
+def named(items: DataFrame, r: int, scratch: Scratch) -> DataFrame:
+    """chunk, no, name and rare of the contents that occur more than once. Equal contents of a map task are one row before the shuffle."""
+    count = items.groupBy("x").agg(F.sum("n").alias("n")).filter("n > 1")
+    number = F.monotonically_increasing_id().bitwiseOR(F.lit((r + 1) << 57))
+    names = scratch.write(count.select("x", number.alias("name"), F.floor(F.log2("n")).cast("int").alias("rare")), "names")
+    return items.select("chunk", "no", "x").join(names, "x").select("chunk", "no", "name", "rare")
 
 
 def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and the words that are left, joined by spaces, for every row."""
     scratch = Scratch(docs.sparkSession, "recompression")
-    plan = Layout(docs, DENSITY)
-    chunks, buckets = plan.chunks, plan.buckets
+    chunks = Layout(docs, 0).chunks
     base = text_rows(docs, chunks).unionByName(scratch.write(copy_rows(docs, chunks, scratch), "copies"))
 
-    def symbols(chunk: Chunk) -> np.ndarray:
-        return distinct([s.names for s in slabs(chunk, n)])
-
-    def say_symbols(table):
-        chunk = Chunk(table)
-        u, _, times = symbols(chunk)
-        return rows_table(state(chunk.number, FIRST, u, u[:0], times > 1, buckets))
-
-    def candidate_windows(chunk: Chunk) -> Iterator[tuple[Slab, np.ndarray, np.ndarray, np.ndarray]]:
-        u, _, _ = symbols(chunk)
-        shared = answers(chunk, FIRST, u, buckets) > 0
-        for s in slabs(chunk, n):
-            starts = s.candidates(shared[np.searchsorted(u, s.names)])
-            yield s, starts, *s.window_hashes(starts, n)
-
-    def say_windows(table):
-        chunk = Chunk(table)
-        a, b, times = distinct(*zip(*[(x, y) for _, _, x, y in candidate_windows(chunk)])) if chunk.docs else distinct([], [])
-        return rows_table(state(chunk.number, SECOND, a, b, times > 1, buckets))
+    def rows(number: int, state: Arrays, contents: list[bytes], times: np.ndarray) -> pa.Table:
+        k = len(contents)
+        table = [[number] * (k + 1), [-1, *range(k)], [None, *contents], [0, *times.tolist()], [freeze(state), *[None] * k]]
+        return pa.Table.from_batches([batch_of(STEP, *table)], STEP)
 
-    def remove(table):
+    def first(table):
         chunk = Chunk(table)
-        found = list(candidate_windows(chunk))
-        a, b, _ = distinct([x for *_, x, _ in found], [y for *_, y in found])
-        shared = answers(chunk, SECOND, a, buckets) > 0
-        gone: dict[int, np.ndarray] = {}
-        for s, starts, x, y in found:
-            hit = starts[shared[locate(a, b, x, y)]]
-            cover = np.zeros(len(s.doc) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + n, -1)
-            covered = np.cumsum(cover)[:-1] > 0
-            for k, (p, q) in zip(s.own, zip(s.begin[:-1], s.begin[1:])):
-                if covered[p:q].any():
-                    gone[k] = covered[p:q]
+        return rows(chunk.number, *begin(words_of(chunk)))
+
+    def thawed(left, right) -> tuple[int, Arrays, np.ndarray, np.ndarray]:
+        """A chunk's number and state, and the names and rarities for what it wants."""
+        s = thaw(left.column("state")[0].as_py())
+        size = int(max(s["wants" if "wants" in s else "codes"].max(initial=-1), -1)) + 1
+        name, rare = np.zeros(size, U), np.zeros(size, np.uint8)
+        no = right.column("no").to_numpy()
+        name[no], rare[no] = right.column("name").to_numpy().astype(U), right.column("rare").to_numpy().astype(np.uint8)
+        return left.column("own")[0].as_py(), s, name, rare
+
+    def apply(s: Arrays, name: np.ndarray, rare: np.ndarray) -> Arrays:
+        return take_names(s, name, rare, n) if "wants" in s else name_words(s, name, rare, n)
+
+    def next_round(r: int):
+        def run(left, right):
+            number, s, name, rare = thawed(left, right)
+            s, contents, times = advance(apply(s, name, rare), r)
+            return rows(number, s, [x.tobytes() for x in contents], times)
+
+        return run
+
+    step = scratch.write(base.groupBy("chunk").applyInArrow(first, STEP_SQL), "words")
+    for r in range(ROUNDS + 1):
+        answers = named(step.filter("no >= 0"), r, scratch).groupBy("chunk")
+        state = step.filter("no < 0").select(F.col("chunk").alias("own"), "state").groupBy("own")
+        if r < ROUNDS:
+            new = scratch.write(state.cogroup(answers).applyInArrow(next_round(r), STEP_SQL), "round")
+            scratch.drop(step)
+            step = new
+
+    def state_entries(left, right):
+        number, s, name, rare = thawed(left, right)
+        where, found, times = entries(apply(s, name, rare), n)
+        k = len(found)
+        anchor, before, count, words = zip(*found) if found else ((),) * 4
+        table = [[number] * (k + 1), [-1, *range(k)], [0, *anchor], [0, *before], [0, *count], [None, *words], [0, *times.tolist()], [freeze(where), *[None] * k]]
+        return pa.Table.from_batches([batch_of(ENTRY, *table)], ENTRY)
+
+    held = scratch.write(state.cogroup(answers).applyInArrow(state_entries, ENTRY_SQL), "entries")
+    hits = hit_windows(held.filter("no >= 0").drop("state"), n, scratch)
+
+    def remove(left, right):
+        chunk = Chunk(left)
+        where = thaw(chunk.answers[FIRST][0][0])
+        own = np.repeat(right.column("no").to_numpy(), [len(x) for x in right.column("hits").to_pylist()]) if right.num_rows else np.zeros(0, np.int64)
+        window = np.array([w for x in right.column("hits").to_pylist() for w in x], np.int64)
+        order = np.argsort(own, kind="stable")
+        own, window = own[order], window[order]
+        a, b = np.searchsorted(own, where["entry"]), np.searchsorted(own, where["entry"], side="right")
+        docs_ = words_of(chunk)
+        begins = np.cumsum([0, *map(len, docs_)])
+        gone = cover(np.repeat(where["start"], b - a) + window[ranges(a, b - a)], n, int(begins[-1]))
+        place = {k: i for i, k in enumerate(chunk.compared())}
         out: list[list] = [[] for _ in range(4)]
         for k, (i, text) in enumerate(chunk.docs):
-            w = WORDS.findall(text)
+            j = k
+            while j and chunk.docs[j - 1] == (i, text):
+                j -= 1
+            w = docs_[place[j]] if j in place else WORDS.findall(text)
             if len(w) >= n and chunk.lowest(i, text) is not None:
                 removed, kept = len(w), []
             else:
-                j = k
-                while j and chunk.docs[j - 1] == (i, text):
-                    j -= 1
-                mask = gone.get(j)
-                kept = w if mask is None else [x for x, m in zip(w, mask.tolist()) if not m]
+                mask = gone[begins[place[j]] : begins[place[j] + 1]] if j in place else np.zeros(len(w), bool)
+                kept = [x for x, g in zip(w, mask.tolist()) if not g] if mask.any() else w
                 removed = len(w) - len(kept)
             for c, v in zip(out, (i, len(w), removed, b" ".join(kept))):
                 c.append(v)
         return pa.Table.from_batches([batch_of(OUT, *out[:3], pa.array(out[3], pa.binary()).cast(pa.string()))], OUT)
 
-    first = scratch.write(answer(base.groupBy("chunk").applyInArrow(say_symbols, ROW_SQL), 5), "symbols")
-    second = scratch.write(answer(base.unionByName(first).groupBy("chunk").applyInArrow(say_windows, ROW_SQL), 12), "windows")
-    done = base.unionByName(first).unionByName(second).groupBy("chunk").applyInArrow(remove, OUT_SQL)
+    zero = F.lit(None).cast("binary")
+    state = held.filter("no < 0").select("chunk", F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), zero.alias("x"), F.col("state").alias("y"), zero.alias("z"))
+    done = base.unionByName(state).groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(remove, OUT_SQL)
     return done.unionByName(whole(docs.filter("doc_id IS NULL")))
 
 
-def locate(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Where pairs stand among sorted distinct pairs (a, b), all of them present."""
-    at = np.searchsorted(a, x)
-    while len(at) and (off := b[at] != y).any():  # equal first halves are next to each other
-        at[off] += 1
-    return at
+def hit_windows(held: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """chunk, no and hits: of the chunks' entries, the numbers of the windows that occur again."""
+    head = F.concat_ws(",", *(F.col(c).cast("string") for c in ("anchor", "before", "count")), F.lit(""))
+    digest = F.unhex(F.sha2(F.concat(F.encode(head, "UTF-8"), "words"), 256))
+    keyed = held.withColumn("digest", digest)
+    parts = [F.first(c).alias(c) for c in ("anchor", "before", "count", "words")]
+    different = scratch.write(keyed.groupBy("digest").agg(*parts, F.sum("n").alias("n")), "different")
+    per = scratch.write(different.groupBy("anchor").agg(F.count("*").alias("entries")), "anchors")
+    hot = per.filter(F.col("entries") > LOTS).select("anchor")
+    cold = different.join(per.filter((F.col("entries") > 1) & (F.col("entries") <= LOTS)).select("anchor"), "anchor", "left_semi")
+    bins = max(1, -(-different.count() // BIN))
+    schema = "digest binary, hits array<int>"
+
+    def compare(table):
+        get = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        hits = repeated(get("anchor"), get("before").astype(np.int64), get("count").astype(np.int64), table.column("words").to_pylist(), get("n"), n)
+        return pa.table({"digest": table.column("digest").combine_chunks().cast(pa.binary()), "hits": pa.array(hits, pa.list_(pa.int32()))})
+
+    dealt = cold.withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)).cast("int"))
+    found = dealt.select("bin", "digest", "anchor", "before", "count", "words", "n").groupBy("bin").applyInArrow(compare, schema)
+    # an entry alone with its anchor repeats where it occurs again
+    alone = different.filter("n > 1").join(per.filter("entries = 1").select("anchor"), "anchor", "left_semi").select("digest", F.sequence(F.lit(0), F.col("count") - 1).alias("hits"))
+    windows = different.join(hot, "anchor", "left_semi").select("digest", "n", "words", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("w"))
+    windows = windows.select("digest", "n", "w", F.expr(f"substring(words, 8 * w + 1, {8 * n})").alias("key"))
+    again = windows.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
+    split = windows.join(again, "key", "left_semi").groupBy("digest").agg(F.collect_set("w").alias("hits"))
+    hits = scratch.write(found.unionByName(alone).unionByName(split).filter(F.size("hits") > 0), "hits")
+    return keyed.select("chunk", "no", "digest").join(hits, "digest").select("chunk", "no", "hits")
 
 
 def whole(docs: DataFrame) -> DataFrame:
