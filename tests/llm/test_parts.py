@@ -82,28 +82,30 @@ def test_a_hash_collision_is_found(monkeypatch):
 
 
 def local_rounds(docs, n):
-    """The naming rounds in one process: the entries of each document's chunk, and how often each window is held by them."""
-    first = [substring_dedup.begin([d]) for d in docs]
-    states, asked, numbers = [f[0] for f in first], [(f[1], f[2]) for f in first], 0
+    """The naming rounds in one process, a chunk for each document, every window kept by the sieve."""
+    own = [substring_dedup.begin([d], np.arange(max(0, len(d) - n + 1)), n) for d in docs]
     for r in range(substring_dedup.ROUNDS + 1):
-        total = {}
-        for contents, times in asked:
-            for c, t in zip(contents, times.tolist()):
-                c = c if isinstance(c, bytes) else c.tobytes()
-                total[c] = total.get(c, 0) + t
-        names = {c: i + 1 + numbers for i, c in enumerate(sorted(c for c, t in total.items() if t > 1))}
-        numbers += len(names)
-        new = []
-        for s, (contents, _) in zip(states, asked):
-            keys = [c if isinstance(c, bytes) else c.tobytes() for c in contents]
-            name = np.array([names.get(c, 0) for c in keys], np.uint64)
-            rare = np.array([int(np.log2(total[c])) for c in keys], np.uint8)
-            s = substring_dedup.thaw(substring_dedup.freeze(s))
-            new.append(substring_dedup.take_names(s, name, rare, n) if r else substring_dedup.name_words(s, name, rare, n))
-        if r < substring_dedup.ROUNDS:
-            stepped = [substring_dedup.advance(s, r) for s in new]
-            states, asked = [x[0] for x in stepped], [(list(x[1]), x[2]) for x in stepped]
-    return [substring_dedup.entries(s, n) for s in new]
+        tables = [substring_dedup.stated(i, *x, 3).to_pylist() for i, x in enumerate(own)]
+        schema = substring_dedup.rows_table([[]] * 6).schema
+        table = lambda rows: substring_dedup.pa.Table.from_pylist(rows, schema)  # noqa: B023, E731
+        named = [x for b in range(3) if (rows := [x for t in tables for x in t if x["bucket"] == b]) for x in substring_dedup.give_names(r)(table(rows)).to_pylist()]
+        thawed = [substring_dedup.thawed(table([x for x in named if x["chunk"] == i] + t[:1])) for i, t in enumerate(tables)]
+        states = [substring_dedup.take_names(*x[1:], n) for x in thawed]
+        own = [substring_dedup.advance(s, r) for s in states] if r < substring_dedup.ROUNDS else own
+    return [substring_dedup.entries(s, n) for s in states]
+
+
+def test_interior_symbols_agree_in_equal_windows():
+    rng = np.random.default_rng(4)
+    shared = rng.integers(0, 50, 60).astype(np.uint64)
+    found = []
+    for _ in range(40):
+        before, after = (rng.integers(0, 50, rng.integers(0, 30)).astype(np.uint64) for _ in range(2))
+        name = sharing.mix(np.concatenate([before, shared, after]))
+        left = len(before) + np.arange(60 - 34)
+        names, a, b = substring_dedup.zones(name, np.zeros(len(name), np.int64), left, left + 35)
+        found.append([names[p:q].tolist() for p, q in zip(a, b)])
+    assert all(f == found[0] for f in found) and sum(map(len, found[0])) > 26
 
 
 @pytest.mark.parametrize("letters, n", [(3, 6), (40, 9), (500, 35), (2, 35)])

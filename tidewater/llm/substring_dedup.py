@@ -1,16 +1,21 @@
 """Substring dedup by recompression: Spark rounds name runs and pairs, shared names reveal and verify long repeats.
 
-A text is a row of words. In the first round every distinct word of the corpus that occurs more than once gets a name, a
-number; in each further round first every run of one symbol is a block, then every left-class symbol followed by a right-class
-one is a pair, and every distinct block and pair that occurs more than once gets a name. Names are given by Spark: the
-chunks of documents state their distinct words, blocks or pairs by content, one aggregation over all of them counts and
-numbers them, and a join takes the names back. So a name means one sequence of words wherever it stands, without hashes.
+A text is a row of words. In the first round every distinct word gets a name, a number; in each further round first every
+run of one symbol is a block, then every left-class symbol followed by a right-class one is a pair, and every distinct
+block and pair gets a name. Names are given by Spark: the chunks of documents state their distinct words, blocks or pairs
+by content, a bucket of the contents' hash space counts and numbers those that occur more than once in the corpus, and the
+names go back. So a name means one sequence of words wherever it stands: contents are compared, not their hashes (a
+word of more than 15 bytes is its BLAKE2b digest).
 
 Classes depend on names alone. Within equal runs of words, all symbols agree but a few at either end: the first symbol
 may have joined what stands before it, the last what stands after. For each window of ``n`` words ``advance`` keeps
 the zone of symbols that only the window decides. A window that repeats has only repeating symbols in its zone. One with
 a symbol that has got no name is dropped, and only words and symbols under the windows that are left go into the next round.
 
+Most windows of a corpus repeat nothing. To spare them the rounds, a sieve goes before: the same recompression with 64-bit
+hashes for names, which needs no tables (``zones``), and one exchange that tells which of its last symbols occur more
+than once (sharing.answer). It drops only windows that can't repeat; what is left is decided by the rounds.
+
 After the rounds, each window has an anchor, the rarest symbol of its last zone. Neighbouring windows with one anchor
 are an entry, the row of word names that they span. Entries with the same anchor are put side by side and compared word by
 word, outwards from the anchor, so that windows are equal where their words are. Equal entries are counted before. An
@@ -28,6 +33,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +41,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, batch_of, ranges, read, slices
-from .sharing import FIRST, Chunk, Layout, U, copy_rows, expand, mix, squeeze, text_rows
+from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, expand, mix, prefix, rows_table, span_hash, squeeze, state, text_rows
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Rounds of blocks and pairs; different entries of an anchor beyond which it is split; entries of a bin.
-ROUNDS, LOTS, BIN = 4, 10_000, 20_000
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Rounds of the sieve, and of blocks and pairs; different entries of an anchor beyond which it is split; entries of a bin.
+SIEVE, ROUNDS, LOTS, BIN = 6, 4, 10_000, 20_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 OUT_SQL = "doc_id long, n_words long, n_removed long, text string"
-#: What a chunk gives in a round: its state (``no`` is -1), and the contents that it wants names for, with how often each occurs.
-STEP = pa.schema([("chunk", pa.int32()), ("no", pa.int32()), ("x", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
-STEP_SQL = "chunk int, no int, x binary, n long, state binary"
 ENTRY = pa.schema([("chunk", pa.int32()), ("no", pa.int32()), ("anchor", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("words", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
 ENTRY_SQL = "chunk int, no int, anchor long, before int, count int, words binary, n long, state binary"
+#: Symbols and contents that a byte of text gives, about, for the number of buckets.
+DENSITY = 0.1
+#: The kind of rows that hold a chunk's state between the rounds; of those with contents and names it is SECOND.
+STATE = 9
 
 Arrays = dict[str, np.ndarray]
 #: Arrays whose differences are small.
@@ -61,38 +69,95 @@ def thaw(blob: bytes) -> Arrays:
     return {k: np.cumsum(v, dtype=v.dtype) if k in RISING else v for k, v in pickle.loads(expand(blob)).items()}
 
 
-def begin(docs: list[list[bytes]]) -> tuple[Arrays, list[bytes], np.ndarray]:
-    """The words of documents as numbers and where each document begins; the distinct words and how often each occurs."""
-    numbers: dict[bytes, int] = {}
-    codes = np.array([numbers.setdefault(w, len(numbers)) for own in docs for w in own], np.int32)
-    start = np.cumsum([0, *map(len, docs)])
-    return {"codes": codes, "start": start}, list(numbers), np.bincount(codes, minlength=len(numbers))
-
+def hash_words(a: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, its document, and where each document's words begin."""
+    space = IS_SPACE[a]
+    first = np.zeros(len(a) + 1, bool)
+    first[at] = True
+    word = ~space
+    before = np.concatenate([[True], space[:-1]]) | first[:-1]
+    start = np.flatnonzero(word & before)
+    after = np.concatenate([space[1:], [True]]) | first[1:]
+    end = np.flatnonzero(word & after) + 1
+    h = mix(span_hash(prefix(BYTES[0][a]), start, end) + U(0x51ED) * (end - start).astype(U))
+    doc = np.searchsorted(at, start, side="right") - 1
+    return h, doc, np.searchsorted(start, at)
 
-def name_words(state: Arrays, name: np.ndarray, rare: np.ndarray, n: int) -> Arrays:
-    """The state of the first round: windows all of whose words have names.
 
-    ``at``, ``word``: places and names of the words under windows. Symbols: ``name``, ``rare`` (2 to this power is about how
-    often it occurs), ``first`` (place of its first word), ``new`` (nothing stands before it). Windows: ``start`` (place),
-    their zone of symbols [``left``, ``right``). Windows that have got their anchor: ``s_start``, ``s_place`` (of the
-    anchor), ``s_name``, ``s_rare``.
+def zones(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rounds: int = SIEVE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names after the last round, and for each window of words [left, right) its interior symbols [left, right)."""
+    if not len(name):
+        return name, left, right
+    # runs: the first and the last run of a window may go on outside
+    new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])])
+    index = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(name)))
+    left, right = index[left] + 1, index[right - 1]
+    name, doc = mix(name[first] + length.astype(U) * U(0xD6E8FEB86659FD93), 11), doc[first]
+    for r in range(rounds):
+        is_right = (mix(name, 100 + r) & U(1)).astype(bool)
+        joins = np.concatenate([~is_right[:-1] & is_right[1:] & (doc[1:] == doc[:-1]), [False]])  # with the next
+        joined = np.concatenate([[False], joins[:-1]])
+        index = np.cumsum(~joined) - 1
+        open_ = left < right
+        # a right-class symbol at the beginning may belong to what stands before, a left-class one at the end to what comes after
+        left = left + (open_ & is_right[np.minimum(left, len(name) - 1)])
+        open_ = left < right
+        right = right - (open_ & ~is_right[np.maximum(right - 1, 0)])
+        open_ = left < right
+        left, right = np.where(open_, index[np.minimum(left, len(name) - 1)], 0), np.where(open_, index[np.maximum(right - 1, 0)] + 1, 0)
+        first = np.flatnonzero(~joined)
+        second = np.minimum(first + 1, len(name) - 1)
+        name, doc = np.where(joins[first], mix(name[first] * U(0xA24BAED4963EE407) + mix(name[second], 7), 200 + r), name[first]), doc[first]
+    return name, left, right
+
+
+class Slab:
+    """Windows and hashed symbols of some documents."""
+
+    def __init__(self, a: np.ndarray, at: np.ndarray, n: int):
+        h, doc, self.begin = hash_words(a, at)
+        starts = np.arange(max(0, len(doc) - n + 1))
+        self.windows = starts[doc[starts] == doc[starts + n - 1]]
+        self.names, self.left, self.right = zones(h, doc, self.windows, self.windows + n)
+
+    def candidates(self, shared: np.ndarray) -> np.ndarray:
+        """The windows all of whose interior symbols are shared."""
+        alone = np.concatenate([[0], np.cumsum(~shared)])
+        return self.windows[alone[np.maximum(self.left, self.right)] == alone[self.left]] if len(self.windows) else self.windows
+
+
+def slabs(chunk: Chunk, n: int) -> Iterator[Slab]:
+    for _, a, at in chunk.slabs():
+        yield Slab(a, at, n)
+
+
+def code_of(word: bytes) -> bytes:
+    """16 bytes that stand for a word: itself with its length, or a digest of a longer one."""
+    return word.ljust(15, b"\0") + bytes([len(word)]) if len(word) < 16 else blake2b(word, digest_size=15).digest() + b"\xff"
+
+
+def begin(docs: list[list[bytes]], start: np.ndarray, n: int) -> tuple[Arrays, np.ndarray, np.ndarray]:
+    """The state before the first round, from the windows that the sieve has left: the words under them, without names.
+
+    ``at``, ``word``: places and names of the words under windows. Symbols: ``name`` (0: none yet), ``wants`` (the number of
+    the content that it wants a name for, or -1), ``rare`` (2 to this power is about how often it occurs), ``first`` (place
+    of its first word), ``new`` (nothing stands before it). Windows: ``start`` (place), their zone of symbols [``left``,
+    ``right``). Windows that have got their anchor: ``s_start``, ``s_place`` (of the anchor), ``s_name``.
     """
-    codes, begins = state["codes"], state["start"]
-    names = name[codes]
-    missing = np.concatenate([[0], np.cumsum(names == 0)])
-    start = np.arange(max(0, len(codes) - n + 1))
-    doc = np.searchsorted(begins, start, side="right")
-    start = start[(start + n <= begins[np.minimum(doc, len(begins) - 1)]) & (missing[start + n] == missing[start])]
-    used = cover(start, n, len(codes))
-    at = np.flatnonzero(used)
-    index = np.cumsum(used) - 1
-    new = np.zeros(len(codes) + 1, bool)
-    new[begins] = True
+    begins = np.cumsum([0, *map(len, docs)])
+    at = np.flatnonzero(cover(start, n, int(begins[-1])))
+    words = [w for own in docs for w in own]
+    numbers: dict[bytes, int] = {}
+    wants = np.array([numbers.setdefault(words[i], len(numbers)) for i in at.tolist()], np.int32)
+    codes = np.frombuffer(b"".join(map(code_of, numbers)), U).reshape(-1, 2)
+    contents = np.concatenate([codes, np.zeros((len(codes), 1), U)], axis=1)
+    new = np.concatenate([[True], np.diff(at) > 1])[: len(at)] | np.isin(at, begins)
+    left = np.searchsorted(at, start)
     none = np.zeros(0, np.int64)
-    return {
-        "at": at, "word": names[at], "name": names[at], "rare": rare[codes[at]], "first": at, "new": new[at] | np.concatenate([[True], np.diff(at) > 1])[: len(at)],
-        "start": start, "left": index[start], "right": index[start] + n, "s_start": none, "s_place": none, "s_name": np.zeros(0, U), "s_rare": np.zeros(0, np.uint8),
-    }
+    s = {"at": at, "word": np.zeros(len(at), U), "name": np.zeros(len(at), U), "rare": np.zeros(len(at), np.uint8), "first": at, "new": new, "wants": wants, "start": start, "left": left, "right": left + n}
+    return s | {"s_start": none, "s_place": none, "s_name": np.zeros(0, U)}, contents, np.bincount(wants, minlength=len(contents))
 
 
 def cover(start: np.ndarray, n: int | np.ndarray, size: int) -> np.ndarray:
@@ -126,7 +191,7 @@ def settle(s: Arrays, done: np.ndarray) -> Arrays:
     """Gives windows their anchors in the zones as they are, and takes them out of the rounds."""
     a = anchors(s, s["left"][done], s["right"][done])
     out = dict(s)
-    for k, v in (("s_start", s["start"][done]), ("s_place", s["first"][a]), ("s_name", s["name"][a]), ("s_rare", s["rare"][a])):
+    for k, v in (("s_start", s["start"][done]), ("s_place", s["first"][a]), ("s_name", s["name"][a])):
         out[k] = np.concatenate([s[k], v])
     for k in ("start", "left", "right"):
         out[k] = s[k][~done]
@@ -136,11 +201,11 @@ def settle(s: Arrays, done: np.ndarray) -> Arrays:
 def advance(s: Arrays, r: int) -> tuple[Arrays, np.ndarray, np.ndarray]:
     """One round: the state with new symbols, those without a name yet as ``wants`` (else -1); their distinct contents and how often each occurs.
 
-    A content is two names and two lengths: a pair of blocks, or one block.
+    A content is two names and, in one number, two lengths: a pair of blocks, or one block.
     """
     name, rare, first, new = (s[k] for k in ("name", "rare", "first", "new"))
     if not len(name):
-        return s | {"wants": np.zeros(0, np.int32)}, np.zeros((0, 4), U), np.zeros(0, np.int64)
+        return s | {"wants": np.zeros(0, np.int32)}, np.zeros((0, 3), U), np.zeros(0, np.int64)
     # blocks; the first and the last block of a window may go on outside
     head = new | np.concatenate([[True], name[1:] != name[:-1]])
     block = np.cumsum(head) - 1
@@ -162,7 +227,7 @@ def advance(s: Arrays, r: int) -> tuple[Arrays, np.ndarray, np.ndarray]:
     p = np.flatnonzero(~joined)
     q = np.minimum(p + 1, last)
     pair = joins[p]
-    content = np.stack([b_name[p], np.where(pair, b_name[q], U(0)), length[p].astype(U), np.where(pair, length[q], 0).astype(U)], 1)
+    content = np.stack([b_name[p], np.where(pair, b_name[q], U(0)), (length[p] << 32 | np.where(pair, length[q], 0)).astype(U)], 1)
     wants = pair | (length[p] > 1)
     rows = content[wants]
     number, which, times = distinct_rows(rows)
@@ -198,6 +263,8 @@ def take_names(s: Arrays, name: np.ndarray, rare: np.ndarray, n: int) -> Arrays:
     asked = wants >= 0
     s["name"], s["rare"] = s["name"].copy(), s["rare"].copy()
     s["name"][asked], s["rare"][asked] = name[wants[asked]], rare[wants[asked]]
+    if len(s["word"]) == len(s["name"]) and not s["word"].any():  # the first round names words
+        s["word"] = s["name"].copy()
     missing = np.concatenate([[0], np.cumsum(s["name"] == 0)])
     live = missing[s["right"]] == missing[s["left"]]
     for k in ("start", "left", "right"):
@@ -273,74 +340,113 @@ def words_of(chunk: Chunk) -> list[list[bytes]]:
     return [WORDS.findall(chunk.docs[k][1]) for k in chunk.compared()]
 
 
-def named(items: DataFrame, r: int, scratch: Scratch) -> DataFrame:
-    """chunk, no, name and rare of the contents that occur more than once. Equal contents of a map task are one row before the shuffle."""
-    count = items.groupBy("x").agg(F.sum("n").alias("n")).filter("n > 1")
-    number = F.monotonically_increasing_id().bitwiseOR(F.lit((r + 1) << 57))
-    names = scratch.write(count.select("x", number.alias("name"), F.floor(F.log2("n")).cast("int").alias("rare")), "names")
-    return items.select("chunk", "no", "x").join(names, "x").select("chunk", "no", "name", "rare")
+def stated(number: int, s: Arrays, contents: np.ndarray, times: np.ndarray, buckets: int) -> pa.Table:
+    """Rows of a chunk after a step: its state, and its distinct contents dealt into buckets, with how often each occurs."""
+    h = np.zeros(len(contents), U)
+    for c in contents.T:
+        h = mix(h * U(0x9E3779B97F4A7C15) + c)
+    bucket = (h % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order))
+    asked = s["wants"] >= 0
+    s["wants"][asked] = place[s["wants"][asked]]
+    rows: list[list] = [[number], [STATE], [-1], [freeze(s)], [b""], [b""]]
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+        for c, v in zip(rows, (number, SECOND, bucket[part[0]], squeeze(np.ascontiguousarray(contents[part].T)), squeeze(times[part].astype(np.uint32)), b"")):
+            c.append(v)
+    return rows_table(rows)
+
+
+def give_names(r: int):
+    """Of a bucket's contents, those that occur more than once get names: round, bucket and number. x: names or 0; y: how frequent."""
+
+    def run(table):
+        chunk, kind, bucket, x, y = (table.column(c).to_pylist() for c in ("chunk", "kind", "bucket", "x", "y"))
+        parts = [expand(v, U).reshape(3, -1) for v in x]
+        contents = np.concatenate(parts, axis=1).T
+        times = np.concatenate([expand(v, np.uint32) for v in y])
+        number, which, _ = distinct_rows(contents)
+        total = np.bincount(number, times, len(which))
+        several = total > 1
+        names = np.where(several, np.cumsum(several).astype(U) | U(bucket[0] << 32) | U((r + 1) << 58), U(0))[number]
+        rare = np.log2(np.maximum(total, 1)).astype(np.uint8)[number]
+        cuts = np.cumsum([p.shape[1] for p in parts])[:-1]
+        return rows_table([chunk, kind, bucket, [squeeze(v) for v in np.split(names, cuts)], [squeeze(v) for v in np.split(rare, cuts)], [b""] * len(chunk)])
+
+    return run
+
+
+def thawed(table: pa.Table) -> tuple[int, Arrays, np.ndarray, np.ndarray]:
+    """A chunk's number and state, and the names and frequencies for what it wants."""
+    rows = sorted(table.to_pylist(), key=lambda row: row["bucket"])
+    names = [np.zeros(0, U), *(expand(row["x"], U) for row in rows[1:])]
+    rare = [np.zeros(0, np.uint8), *(expand(row["y"], np.uint8) for row in rows[1:])]
+    return rows[0]["chunk"], thaw(rows[0]["x"]), np.concatenate(names), np.concatenate(rare)
 
 
 def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed and the words that are left, joined by spaces, for every row."""
     scratch = Scratch(docs.sparkSession, "recompression")
-    chunks = Layout(docs, 0).chunks
+    plan = Layout(docs, DENSITY)
+    chunks, buckets = plan.chunks, plan.buckets
     base = text_rows(docs, chunks).unionByName(scratch.write(copy_rows(docs, chunks, scratch), "copies"))
 
-    def rows(number: int, state: Arrays, contents: list[bytes], times: np.ndarray) -> pa.Table:
-        k = len(contents)
-        table = [[number] * (k + 1), [-1, *range(k)], [None, *contents], [0, *times.tolist()], [freeze(state), *[None] * k]]
-        return pa.Table.from_batches([batch_of(STEP, *table)], STEP)
+    def symbols(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        u, _, times = distinct([s.names for s in slabs(chunk, n)])
+        return u, times
 
-    def first(table):
+    def say_symbols(table):
         chunk = Chunk(table)
-        return rows(chunk.number, *begin(words_of(chunk)))
-
-    def thawed(left, right) -> tuple[int, Arrays, np.ndarray, np.ndarray]:
-        """A chunk's number and state, and the names and rarities for what it wants."""
-        s = thaw(left.column("state")[0].as_py())
-        size = int(max(s["wants" if "wants" in s else "codes"].max(initial=-1), -1)) + 1
-        name, rare = np.zeros(size, U), np.zeros(size, np.uint8)
-        no = right.column("no").to_numpy()
-        name[no], rare[no] = right.column("name").to_numpy().astype(U), right.column("rare").to_numpy().astype(np.uint8)
-        return left.column("own")[0].as_py(), s, name, rare
-
-    def apply(s: Arrays, name: np.ndarray, rare: np.ndarray) -> Arrays:
-        return take_names(s, name, rare, n) if "wants" in s else name_words(s, name, rare, n)
-
-    def next_round(r: int):
-        def run(left, right):
-            number, s, name, rare = thawed(left, right)
-            s, contents, times = advance(apply(s, name, rare), r)
-            return rows(number, s, [x.tobytes() for x in contents], times)
+        u, times = symbols(chunk)
+        return rows_table(state(chunk.number, FIRST, u, u[:0], times > 1, buckets))
 
-        return run
+    def sieved(table):
+        chunk = Chunk(table)
+        own = list(slabs(chunk, n))
+        u, _, _ = distinct([s.names for s in own])
+        shared = answers(chunk, FIRST, u, buckets) > 0
+        start, offset = [np.zeros(0, np.int64)], 0
+        for s in own:
+            start.append(offset + s.candidates(shared[np.searchsorted(u, s.names)]))
+            offset += int(s.begin[-1])
+        return stated(chunk.number, *begin(words_of(chunk), np.concatenate(start), n), buckets)
+
+    def go_on(r: int):
+        def run(table):
+            number, s, name, rare = thawed(table)
+            return stated(number, *advance(take_names(s, name, rare, n), r), buckets)
 
-    step = scratch.write(base.groupBy("chunk").applyInArrow(first, STEP_SQL), "words")
-    for r in range(ROUNDS + 1):
-        answers = named(step.filter("no >= 0"), r, scratch).groupBy("chunk")
-        state = step.filter("no < 0").select(F.col("chunk").alias("own"), "state").groupBy("own")
-        if r < ROUNDS:
-            new = scratch.write(state.cogroup(answers).applyInArrow(next_round(r), STEP_SQL), "round")
-            scratch.drop(step)
-            step = new
+        return run
 
-    def state_entries(left, right):
-        number, s, name, rare = thawed(left, right)
-        where, found, times = entries(apply(s, name, rare), n)
+    def last(table):
+        number, s, name, rare = thawed(table)
+        where, found, times = entries(take_names(s, name, rare, n), n)
         k = len(found)
         anchor, before, count, words = zip(*found) if found else ((),) * 4
-        table = [[number] * (k + 1), [-1, *range(k)], [0, *anchor], [0, *before], [0, *count], [None, *words], [0, *times.tolist()], [freeze(where), *[None] * k]]
-        return pa.Table.from_batches([batch_of(ENTRY, *table)], ENTRY)
+        columns = [[number] * (k + 1), [-1, *range(k)], [0, *anchor], [0, *before], [0, *count], [None, *words], [0, *times.tolist()], [freeze(where), *[None] * k]]
+        return pa.Table.from_batches([batch_of(ENTRY, *columns)], ENTRY)
 
-    held = scratch.write(state.cogroup(answers).applyInArrow(state_entries, ENTRY_SQL), "entries")
+    first = scratch.write(answer(base.groupBy("chunk").applyInArrow(say_symbols, ROW_SQL), 5), "sieve")
+    step = scratch.write(base.unionByName(first).groupBy("chunk").applyInArrow(sieved, ROW_SQL), "words")
+    scratch.drop(first)
+    for r in range(ROUNDS + 1):
+        names = step.filter(F.col("kind") == SECOND).groupBy("bucket").applyInArrow(give_names(r), ROW_SQL)
+        both = names.unionByName(step.filter(F.col("kind") == STATE)).groupBy("chunk")
+        if r < ROUNDS:
+            new = scratch.write(both.applyInArrow(go_on(r), ROW_SQL), "round")
+        else:
+            held = scratch.write(both.applyInArrow(last, ENTRY_SQL), "entries")
+        scratch.drop(step)
+        step = new
     hits = hit_windows(held.filter("no >= 0").drop("state"), n, scratch)
 
     def remove(left, right):
         chunk = Chunk(left)
         where = thaw(chunk.answers[FIRST][0][0])
-        own = np.repeat(right.column("no").to_numpy(), [len(x) for x in right.column("hits").to_pylist()]) if right.num_rows else np.zeros(0, np.int64)
-        window = np.array([w for x in right.column("hits").to_pylist() for w in x], np.int64)
+        found = right.column("hits").to_pylist() if right.num_rows else []
+        own = np.repeat(right.column("no").to_numpy(), [len(x) for x in found]) if found else np.zeros(0, np.int64)
+        window = np.array([w for x in found for w in x], np.int64)
         order = np.argsort(own, kind="stable")
         own, window = own[order], window[order]
         a, b = np.searchsorted(own, where["entry"]), np.searchsorted(own, where["entry"], side="right")
@@ -365,8 +471,8 @@ def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
         return pa.Table.from_batches([batch_of(OUT, *out[:3], pa.array(out[3], pa.binary()).cast(pa.string()))], OUT)
 
     zero = F.lit(None).cast("binary")
-    state = held.filter("no < 0").select("chunk", F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), zero.alias("x"), F.col("state").alias("y"), zero.alias("z"))
-    done = base.unionByName(state).groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(remove, OUT_SQL)
+    last_state = held.filter("no < 0").select("chunk", F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), zero.alias("x"), F.col("state").alias("y"), zero.alias("z"))
+    done = base.unionByName(last_state).groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(remove, OUT_SQL)
     return done.unionByName(whole(docs.filter("doc_id IS NULL")))
 
 
@@ -379,7 +485,7 @@ def hit_windows(held: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     different = scratch.write(keyed.groupBy("digest").agg(*parts, F.sum("n").alias("n")), "different")
     per = scratch.write(different.groupBy("anchor").agg(F.count("*").alias("entries")), "anchors")
     hot = per.filter(F.col("entries") > LOTS).select("anchor")
-    cold = different.join(per.filter((F.col("entries") > 1) & (F.col("entries") <= LOTS)).select("anchor"), "anchor", "left_semi")
+    cold = different.join(per.filter((F.col("entries") > 1) & (F.col("entries") <= LOTS)).select("anchor").hint("merge"), "anchor", "left_semi")
     bins = max(1, -(-different.count() // BIN))
     schema = "digest binary, hits array<int>"
 
@@ -391,13 +497,13 @@ def hit_windows(held: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     dealt = cold.withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)).cast("int"))
     found = dealt.select("bin", "digest", "anchor", "before", "count", "words", "n").groupBy("bin").applyInArrow(compare, schema)
     # an entry alone with its anchor repeats where it occurs again
-    alone = different.filter("n > 1").join(per.filter("entries = 1").select("anchor"), "anchor", "left_semi").select("digest", F.sequence(F.lit(0), F.col("count") - 1).alias("hits"))
-    windows = different.join(hot, "anchor", "left_semi").select("digest", "n", "words", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("w"))
+    alone = different.filter("n > 1").join(per.filter("entries = 1").select("anchor").hint("merge"), "anchor", "left_semi").select("digest", F.sequence(F.lit(0), F.col("count") - 1).alias("hits"))
+    windows = different.join(hot.hint("merge"), "anchor", "left_semi").select("digest", "n", "words", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("w"))
     windows = windows.select("digest", "n", "w", F.expr(f"substring(words, 8 * w + 1, {8 * n})").alias("key"))
     again = windows.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
-    split = windows.join(again, "key", "left_semi").groupBy("digest").agg(F.collect_set("w").alias("hits"))
+    split = windows.join(again.hint("merge"), "key", "left_semi").groupBy("digest").agg(F.collect_set("w").alias("hits"))
     hits = scratch.write(found.unionByName(alone).unionByName(split).filter(F.size("hits") > 0), "hits")
-    return keyed.select("chunk", "no", "digest").join(hits, "digest").select("chunk", "no", "hits")
+    return keyed.select("chunk", "no", "digest").join(hits.hint("merge"), "digest").select("chunk", "no", "hits")
 
 
 def whole(docs: DataFrame) -> DataFrame:
