@@ -304,9 +304,10 @@ class LineIndex:
         refs = self.scratch.write(references(docs, self.min_chars).distinct(), "asked") if refs is None else refs
         maybe = self.scratch.write(self.not_denied(refs.select("key").distinct()), "maybe")
         frequent = self.scratch.write(self._latest(maybe).filter(F.col("n_docs") >= self.min_docs).select("key", "max_doc"), "frequent")
-        drops = refs.join(frequent, "key").filter(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
+        # merge joins at every size: rows and references are dealt out by key, and a hot key's part can be split
+        drops = refs.join(frequent.hint("merge"), "key").filter(F.col("doc_id") < F.col("max_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
         drops = self.scratch.write(drops, "drops")
-        named = rows.filter("row.doc_id IS NOT NULL").join(drops, F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "drop")
+        named = rows.filter("row.doc_id IS NOT NULL").join(drops.hint("merge"), F.col("row.doc_id") == F.col("doc_id"), "left").select("row", "drop")
         return finish(named.unionByName(rows.filter("row.doc_id IS NULL").withColumn("drop", F.lit(None).cast("array<binary>"))))
 
 
