@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,10 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run, below the shared folder. They cut lineage: a lost executor costs a re-read, not a recomputation."""
+    """Tables of one run, below the shared folder. They cut lineage: a lost executor costs a re-read, not a recomputation.
+
+    Results read them lazily, so they stay until the driver's program ends.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", 0
+        atexit.register(self._delete, self.base)
+
+    def _delete(self, path: str) -> None:
+        if self.spark._jsc.sc().isStopped():
+            return
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -49,8 +60,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Frees a table that nothing reads any more."""
         if path := getattr(df, "_scratch_path", None):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(path)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
