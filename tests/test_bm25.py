@@ -5,7 +5,22 @@ def test_scan_and_index_agree(spark):
     rows = [(i, i, t) for i, t in enumerate(["a b c", "b b d", "", "c a a é", "zz"])]
     chunks = spark.createDataFrame(rows, "chunk_id long, node_id long, text string")
     for q in ("b", "a A é", "b zz none"):
-        scan, index = (search.fts_search(chunks, q, index=x).collect() for x in (None, search.postings(chunks)))
+        scan, index = (search.fts_search(chunks, q, index=x, stemmed=False).collect() for x in (None, search.invert(chunks, False)))
         assert [(r.chunk_id, round(r.score, 9)) for r in scan] == [(r.chunk_id, round(r.score, 9)) for r in index]
-    more = spark.createDataFrame([(1, 1, "He runs"), (2, 2, "Running late"), (3, 3, "none")], "chunk_id long, node_id long, text string")
-    assert search.fts_search(more, "run", stemmed=True).count() == 2
+
+
+def test_search_finds_other_forms(spark):
+    more = spark.createDataFrame([(1, 1, "He runs"), (2, 2, "Running late"), (3, 3, "none"), (4, 4, "RÚN")], "chunk_id long, node_id long, text string")
+    assert sorted(r.chunk_id for r in search.fts_search(more, "run").collect()) == [1, 2, 4]
+    assert [r.chunk_id for r in search.fts_search(more, "runs", stemmed=False).collect()] == [1]
+
+
+def test_one_posting_of_a_chunk_for_all_forms_of_a_stem(spark):
+    chunks = spark.createDataFrame([(1, 5, "run runs RUNNING ran")], "chunk_id long, node_id long, text string")
+    assert sorted(map(tuple, search.postings(chunks).collect())) == [("ran", 1, 5, 1, 4), ("run", 1, 5, 3, 4)]
+
+
+def test_a_chunk_with_a_header_is_indexed_with_it(spark):
+    chunks = spark.createDataFrame([(1, 5, "text", "title")], "chunk_id long, node_id long, text string, header string")
+    assert {r.term for r in search.postings(chunks).collect()} == {"text", "titl"}
+    assert tuple(search.corpus_of(chunks).first()) == (1, 2)

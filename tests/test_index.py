@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import admin, browse, catalog, fusion, merge, nodes, search
-from tidewater.plans.index import index_folder
+from tidewater.plans.index import index_folder, search_store
 from tidewater.sources import audit, config, files
 from tidewater.sources.store import Store
 from tidewater.streaming import watch
@@ -33,14 +33,14 @@ def test_index_search_and_reindex(spark, folder, tmp_path):
     f, n, c, e = (store.table(t) for t in ("files", "nodes", "chunks", "embeddings"))
     assert {r.name for r in n.collect()} == {"greet", "Run", "notes.md", "deploy.sh"}
     ids = {r.name: r.node_id for r in n.collect()}
-    r = fusion.search_broadly(fusion.Request("fox", detail="brief"), f, n, c)
-    assert r.status == "ok" and {x.title for x in r.hits.collect()} == {"notes.md"}
-    r = fusion.search_broadly(fusion.Request("fox", "semantic"), f, n, c)
-    assert r.status == "error" and r.failed_sources == ["vector"]
+    r = search_store(store, fusion.Request("fox", detail="brief", deadline=None))
+    assert r.status == "ok" and {x.title for x in r.hits.collect()} == {"greet", "notes.md"}  # the docstring says foxes
+    r = fusion.search_broadly(fusion.Request("fox", "semantic", deadline=None), f, n, c)
+    assert r.status == "error" and r.failed_sources == ["vector"] and r.warnings == [fusion.PARTIAL]
     v = e.orderBy("chunk_id").first().embedding
-    hits = fusion.search_broadly(fusion.Request("fox", vector=list(v)), f, n, c, e).hits.collect()
+    hits = fusion.search_broadly(fusion.Request("fox", vector=list(v), deadline=None), f, n, c, e).hits.collect()
     assert any("vector" in x.matched_sources for x in hits)
-    assert fusion.render(fusion.search_broadly(fusion.Request("fox"), f, n, c).hits).first().line.startswith("1. ")
+    assert fusion.render(fusion.search_broadly(fusion.Request("fox", deadline=None), f, n, c).hits).first().line.startswith("1. ")
     assert search.fts_search(c, "?! @#").count() == 0
     assert nodes.get_nodes(n, f, []).count() == 0 and nodes.get_nodes(n, f, [ids["Run"]]).first().name == "Run"
     page = browse.browse(f, str(folder))
@@ -59,6 +59,89 @@ def test_index_search_and_reindex(spark, folder, tmp_path):
     assert status["files"] == 5 and status["structural_skipped"] == 2
 
 
+def indexed(spark, store):
+    """What a store holds, by paths, as ids may differ."""
+    f, n, c, p, t = (store.table(x) for x in ("files", "nodes", "chunks", "postings", "pipeline_state"))
+    live = f.filter("deleted_at IS NULL").select("file_id", "path")
+    chunks = c.join(n.select("node_id", "file_id"), "node_id").join(live, "file_id").select("path", "text", "byte_start")
+    posted = p.join(c.select("chunk_id", "node_id"), ["chunk_id", "node_id"]).join(n.select("node_id", "file_id"), "node_id").join(live, "file_id").select("path", "term", "tf", "dl")
+    states = t.join(live, "file_id").select("path", "pass_name", "status")
+    return [sorted(map(tuple, x.collect()), key=repr) for x in (chunks, posted, states, store.table("terms"), store.table("corpus"))]
+
+
+def test_a_killed_run_loses_nothing(spark, tmp_path, monkeypatch):
+    """A run is stopped at each of its writes in turn; the next run sees the same changes."""
+    root = tmp_path / "work"
+    root.mkdir()
+    want = None
+    for step in range(20):
+        (root / "a.md").write_text("first text")
+        (root / "b.md").write_text("stays as it is")
+        (root / "c.md").write_text("goes")
+        store = Store(spark, str(tmp_path / f"store{step}"))
+        index_folder(spark, store, str(root), 1000)
+        (root / "a.md").write_text("second text")
+        (root / "c.md").unlink()
+        (root / "d.md").write_text("comes")
+        calls = []
+
+        def killed(real, calls=calls, step=step):
+            def run(self, *args, **kwargs):
+                calls.append(1)
+                if len(calls) == step + 1:
+                    raise KeyboardInterrupt
+                return real(self, *args, **kwargs)
+
+            return run
+
+        with monkeypatch.context() as m:
+            for name in ("stage", "commit", "_publish"):
+                m.setattr(Store, name, killed(getattr(Store, name)))
+            try:
+                index_folder(spark, Store(spark, store.root), str(root), 2000)
+                ended = True
+            except KeyboardInterrupt:
+                ended = False
+        again = Store(spark, store.root)
+        index_folder(spark, again, str(root), 3000)
+        got = indexed(spark, again)
+        texts = {(p.rsplit("/", 1)[1], t) for p, t, _ in got[0]}
+        assert texts == {("a.md", "second text"), ("b.md", "stays as it is"), ("d.md", "comes")}
+        assert {r[2] for r in got[2]} == {"done"}
+        want = want or got
+        assert got == want
+        (root / "d.md").unlink()
+        if ended:
+            break
+    assert ended and step >= 7
+
+
+def test_a_file_with_very_many_chunks(spark, tmp_path):
+    root = tmp_path / "work"
+    root.mkdir()
+    (root / "big.md").write_text("\n\n".join(" ".join(f"w{i}_{j}" for j in range(150)) for i in range(4500)))
+    store = Store(spark, str(tmp_path / "store"))
+    assert index_folder(spark, store, str(root), 1)["failed"] == 0
+    c = store.table("chunks")
+    assert c.count() == c.select("chunk_id").distinct().count() > 4096
+
+
+def test_scans_take_a_root_with_a_scheme(spark, folder):
+    assert {r.name for r in files.scan_tools(spark, f"file://{folder}", ["*.py"]).collect()} == {"greet"}
+    assert {r.name for r in files.scan_resources(spark, f"file://{folder}/", ["sub/**"]).collect()} == {"data.csv", "bin.md"}
+
+
+def test_new_files_are_numbered_in_path_order(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(merge, "SAMPLE", 40)
+    monkeypatch.setattr(merge, "RANGES", 7)
+    paths = [f"/{'abc'[i % 3]}/{random.Random(i).random()}" for i in range(300)]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(5)
+    assert [r.path for r in merge.number_rows(rows, "path", "n").orderBy("n").collect()] == sorted(paths)
+    assert [r.n for r in merge.number_rows(rows.limit(1), "path", "n").collect()] == [1] and merge.number_rows(rows.limit(0), "path", "n").count() == 0
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
     s.write_fingerprint(model="m", model_version="1", dimension=4, chunk_policy="p", quantization="q")

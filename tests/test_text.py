@@ -1,3 +1,4 @@
+import json
 import sqlite3
 
 from pyspark.sql import functions as F
@@ -72,12 +73,18 @@ def test_tools():
     assert imports_of("x.py", src) == ["numpy", "pandas"]
     ts = "/**\n * Adds.\n * @param x\n */\nexport async function add(x: number, y?: string[]) {}\nexport const g = (s: string) => s\nimport a from '@s/p/q'\nconst b = require('fs')\n"
     add, g = script_tools(ts, "a.ts")
+    odd = "export const f = function (a, b = 1) {}\nexport const h: (a: string) => void = async (q: Array<number>) => {}\nexport function gen(a /* c, d */) { export const no = (a) => 1 }\nexport const n = 5\nconst s = 'export function no(a) {}'\nclass X { export() {} }\nexport default function main<T>(t: T) {}\n"
+    assert [(t["name"], sorted(json.loads(t["input_schema"])["properties"])) for t in script_tools(odd, "a.ts")] == [("f", ["a", "b"]), ("h", ["q"]), ("gen", ["a"]), ("main", ["t"])]
     assert add["description"] == "Adds." and '"required": ["x"]' in add["input_schema"] and g["name"] == "g"
     assert imports_of("a.ts", ts) == ["@s/p"]
     assert shell_tools("#!/bin/sh\n\n# Deploys it\n", "/x/deploy.sh")[0]["description"] == "Deploys it"
-    spec = "openapi: 3.0.0\ninfo: {title: t, version: '1'}\npaths:\n  /pets/{id}:\n    delete: {summary: Gone, parameters: [{name: id, in: path, required: true, schema: {type: string}}]}\n"
+    spec = "openapi: 3.0.0\ninfo: {title: t, version: '1'}\npaths:\n  /pets/{id}:\n    delete: {summary: Gone, parameters: [{name: id, in: path, required: true, schema: {type: string}}], responses: {'204': {description: gone}}}\n"
     (o,) = openapi_tools(spec)
     assert (o["name"], o["risk"]) == ("delete_pets__id_", "destructive") and openapi_tools("a: 1") == []
+    for broken in (spec.replace("responses", "answers"), spec.replace("name: id,", "name: x,"), spec.replace("title: t, ", ""), spec.replace("/pets", "pets"), spec.replace("required: true, ", "")):
+        assert openapi_tools(broken) == []
+    ref = spec.replace("schema: {type: string}", "schema: {$ref: '#/components/schemas/Id'}") + "components:\n  schemas:\n    Id: {type: integer, description: a number}\n"
+    assert '"id": {"type": "integer", "description": "a number"}' in openapi_tools(ref)[0]["input_schema"]
 
 
 def test_scalars(spark):
@@ -91,6 +98,11 @@ def test_scalars(spark):
         assert df.select(X.truncate_bytes(F.col("t"), n, "…")).first()[0] == want
     r = df.select(X.json_equal(F.col("j"), F.col("k")), X.redact(F.col("s")), X.format_size(F.lit(1536)), X.mask_key(F.lit("abcdefghijklmn"))).first()
     assert tuple(r) == (True, "[REDACTED]", "1.5 KB", "abcdefg***klmn")
+    sizes = [1023, 1024, 1280, 1792, 1331, 1048575, 1048576, 1310720, 123456789]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select(X.format_size(F.col("n"))).collect()
+    assert [x[0] for x in got] == [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB" for n in sizes]
+    cut = df.select(X.redact(F.lit("é" * 30), 7)).first()[0]
+    assert cut == "ééé... [output truncated at 7 bytes]"
     assert df.select(X.is_binary(F.lit(b"a\x00b")), X.mime_of(F.lit(b"%PDF-1.4")), X.content_class(F.lit("/x.PY"), F.lit("x"), F.lit(b"\x00"))).first()[0:3] == (True, "application/pdf", "unknown")
 
 

@@ -101,11 +101,11 @@ def matches_globs(path: Column, include: list[str], exclude: list[str]) -> Colum
 
 #: Extensions of each class.
 CLASS_EXTENSIONS = {
-    "code": "py go js ts rs java c cc cpp h hpp",
-    "document": "md txt rst org tex pdf docx odt",
-    "image": "png jpg jpeg gif webp heic tiff",
-    "media": "mp4 mkv mov avi mp3 wav flac ogg webm",
-    "data": "csv tsv json yaml yml xml sqlite",
+    "code": (".py", ".go", ".js", ".ts", ".rs", ".java", ".c", ".cc", ".cpp", ".h", ".hpp"),
+    "document": (".md", ".txt", ".rst", ".org", ".tex", ".pdf", ".docx", ".odt"),
+    "image": (".png", ".jpg", ".jpeg", ".gif", ".webp", ".heic", ".tiff"),
+    "media": (".mp4", ".mkv", ".mov", ".avi", ".mp3", ".wav", ".flac", ".ogg", ".webm"),
+    "data": (".csv", ".tsv", ".json", ".yaml", ".yml", ".xml", ".sqlite"),
 }
 BINARY_DOCUMENT = r"[.](pdf|docx|odt)$"
 
@@ -133,7 +133,7 @@ def content_class(path: Column, mime: Column | None = None, sample: Column | Non
     ext = F.lower(extension(path))
     out = F.when(F.lit(False), "")
     for name, extensions in CLASS_EXTENSIONS.items():
-        out = out.when(ext.isin(*(f".{x}" for x in extensions.split())), name)
+        out = out.when(ext.isin(*extensions), name)
     if mime is not None:
         out = out.when(mime.startswith("text/"), "document").when(mime.startswith("image/"), "image").when(mime.startswith("video/") | mime.startswith("audio/"), "media")
     out = out.otherwise("unknown")
@@ -166,11 +166,19 @@ SECRETS = (
 )
 
 
-def redact(text: Column, most: int | None = None, suffix: str = "\n[truncated]") -> Column:
-    """Credentials and long runs become [REDACTED]; then a cut at so many bytes, back at a character's boundary."""
-    for p in SECRETS:
-        text = F.regexp_replace(text, p, "[REDACTED]")
-    return text if most is None else truncate_bytes(text, most, suffix)
+#: What a text must hold, in lower case, for a pattern of SECRETS to find anything: a look that costs next to nothing.
+HINTS = ("akia", "secret", "key", "ghp_", "github_pat_", "sk-", "private key-----", None)
+
+
+def redact(text: Column, most: int | None = None) -> Column:
+    """Credentials and long runs become [REDACTED]; then a cut at so many bytes, back at a character's boundary, with a remark."""
+    low = F.lower(text)
+    hinted = {h: F.contains(low, F.lit(h)) for h in HINTS if h}
+    out = text
+    for p, h in zip(SECRETS, HINTS):
+        replaced = F.regexp_replace(out, p, "[REDACTED]")
+        out = F.when(hinted[h], replaced).otherwise(out) if h else replaced
+    return out if most is None else truncate_bytes(out, most, f"... [output truncated at {most} bytes]")
 
 
 def truncate_bytes(text: Column, most: int, suffix: str) -> Column:
@@ -189,9 +197,10 @@ def mask_key(key: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
+    """One decimal, a half to the even digit: 1280 bytes are 1.2 KB."""
     return (
-        F.when(n >= 1024 * 1024, F.format_string("%.1f MB", n / (1024 * 1024)))
-        .when(n >= 1024, F.format_string("%.1f KB", n / 1024))
+        F.when(n >= 1024 * 1024, F.format_string("%.1f MB", F.bround(n / (1024 * 1024), 1)))
+        .when(n >= 1024, F.format_string("%.1f KB", F.bround(n / 1024, 1)))
         .otherwise(F.format_string("%d B", n))
     )
 
@@ -256,6 +265,15 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(square.cast("double"))
 
 
+def mean_pool(hidden: Column, mask: Column) -> Column:
+    """The mean of token vectors (array of arrays) under a mask (array of 0 and 1), brought to length one; zeros stay zeros."""
+    kept = F.filter(F.arrays_zip(hidden.alias("v"), mask.alias("m")), lambda x: x["m"] > 0)
+    vectors = F.transform(kept, lambda x: x["v"])
+    total = F.aggregate(vectors, F.transform(hidden[0], lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    length = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(total, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+
+
 def nearness(distance: Column) -> Column:
     return 1 / (1 + distance)
 

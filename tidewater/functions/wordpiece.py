@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -82,3 +84,22 @@ def pool(hidden, mask):
     m = mask[..., None].astype(float)
     mean = (hidden * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1e-9)
     return mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-12)
+
+
+class QueryEmbedder:
+    """From a request to its int8 vector: tokens, model, pooling, length one, quantisation. One request at a time.
+
+    model: from ids, masks and types (lists of one row) to hidden states, a numpy array of batch x tokens x dims.
+    """
+
+    def __init__(self, wordpiece: WordPiece, model: Callable, scale: int = 256):
+        self.wordpiece, self.model, self.scale, self._lock = wordpiece, model, scale, threading.Lock()
+
+    def __call__(self, query: str) -> list[int]:
+        import numpy as np
+
+        e = self.wordpiece.encode(query)
+        with self._lock:
+            hidden = np.asarray(self.model([e["ids"]], [e["mask"]], [e["types"]]), float)
+        x = pool(hidden, np.array([e["mask"]]))[0] * self.scale
+        return np.clip(np.sign(x) * np.floor(np.abs(x) + 0.5), -127, 127).astype(int).tolist()

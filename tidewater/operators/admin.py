@@ -58,7 +58,7 @@ def retrieval_quality(hits: DataFrame, judgments: DataFrame, k: int = 10) -> Dat
     """
     top = hits.filter(F.col("rank") < k)
     good = judgments.filter("grade > 0")
-    matched = top.join(F.broadcast(judgments.withColumnRenamed("path", "judged")), (top.query_id == judgments.query_id) & F.contains(top.path, F.col("judged"))).drop(judgments.query_id)
+    matched = top.join(judgments.withColumnRenamed("path", "judged"), (top.query_id == judgments.query_id) & F.contains(top.path, F.col("judged"))).drop(judgments.query_id)
     gain = (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("rank") + F.lit(2.0))
     best = matched.groupBy("mode", "query_id", "rank").agg(F.max("grade").alias("grade"), F.max_by("judged", "grade").alias("judged"))
     once = best.withColumn("rn", F.row_number().over(Window.partitionBy("mode", "query_id", "judged").orderBy("rank")))

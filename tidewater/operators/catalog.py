@@ -107,6 +107,12 @@ def state_counts(tools: DataFrame) -> DataFrame:
     return tools.groupingSets([[F.col("state")], [F.col("dep_state")]], "state", "dep_state").agg(F.count("*").alias("n"))
 
 
+def gauges(tools: DataFrame) -> DataFrame:
+    """(gauge, value): all tools and enabled ones, in one pass."""
+    row = tools.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "enabled").alias("enabled"))
+    return row.select(F.stack(F.lit(2), F.lit("tools_total"), F.col("total"), F.lit("tools_enabled"), F.col("enabled")).alias("gauge", "value"))
+
+
 def invocation(tools: DataFrame, current_hash: Column) -> DataFrame:
     """What a call would meet: first rule that applies."""
     rule = (

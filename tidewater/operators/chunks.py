@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,22 @@ def word_count(text: str) -> int:
     return len(text.split())
 
 
+def library_count(path: str) -> Counter:
+    """A counter by a tokenizer file, loaded once in each worker."""
+
+    def count(text: str) -> int:
+        return len(_library(path).encode(text, add_special_tokens=False).ids)
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _split(text: str, at: int, separators: tuple[str, ...], target: int, most: int, count: Counter) -> Iterator[tuple[str, int, int]]:
     """(text, first byte, tokens); ``at`` is the byte where the text begins, so that source[first:first+len] is the text."""
     if not text.strip():
@@ -74,11 +91,11 @@ def chunk_code(source: str, symbols: list[dict], most: int = MOST, count: Counte
 CHUNK = "array<struct<text string, byte_start long, byte_end long, token_count int>>"
 
 
-def prose_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET, most: int = MOST) -> DataFrame:
+def prose_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = TARGET, most: int = MOST, count: Counter = word_count) -> DataFrame:
     """(key, ordinal, text, byte_start, byte_end, token_count)."""
 
     @F.pandas_udf(CHUNK)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: chunk_prose(t or "", target, most))
+        return s.map(lambda t: chunk_prose(t or "", target, most, count))
 
     return docs.select(key, F.posexplode(run(text)).alias("ordinal", "c")).select(key, "ordinal", "c.*")

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp_k, strip_controls, truncate_bytes
+from ..schema import DEGRADED, EMPTY, OK, SCORES
 from . import search
 from .nodes import hydrate
 
 K = 60
+#: Seconds that a request waits for its sources.
+DEADLINE = 2.0
 SOURCES = ("fts", "filename", "vector")
-SNIPPET = {"brief": (120, 1), "standard": (400, 2), "full": (0, 20)}
+#: Bytes of a snippet by detail; 0: all of a node's first chunks.
+SNIPPET = {"brief": 120, "standard": 400, "full": 0}
+PER_NODE = 2
 MODES = {"auto": SOURCES, "lexical": ("fts",), "filename": ("filename",), "semantic": ("vector",)}
-#: What an error's text may become, the first word that occurs decides.
-SAFE_ERRORS = (("sql", "index query failed"), ("embed", "embedding failed"), ("timeout", "source timed out"), ("deadline", "source timed out"), ("connect", "source unavailable"))
+#: What an error's text becomes, the first word that occurs decides.
+SAFE_ERRORS = (
+    ("sql", "database query failed"),
+    ("embed", "embedding operation failed"),
+    ("timeout", "operation timed out"),
+    ("deadline", "operation timed out"),
+    ("connect", "service connection failed"),
+    ("refused", "service connection failed"),
+)
+OTHER_ERROR = "internal error"
+PARTIAL = "completeness=partial; some sources failed. See failed_sources and sources[]."
 
 
 def fuse(lists: dict[str, DataFrame], most: int = 20) -> DataFrame:
@@ -35,8 +53,8 @@ def fuse(lists: dict[str, DataFrame], most: int = 20) -> DataFrame:
 
 def shape(fused: DataFrame, nodes: DataFrame, files: DataFrame, chunks: DataFrame, detail: str = "standard") -> DataFrame:
     """Hits with path, title and snippet. A hit without a node stays, with empty path and title."""
-    size, per_node = SNIPPET.get(detail, SNIPPET["standard"])
-    rows = hydrate(fused, nodes, files, chunks, per_node)
+    size = SNIPPET.get(detail, SNIPPET["standard"])
+    rows = hydrate(fused, nodes, files, chunks, PER_NODE)
     first = F.coalesce(F.element_at("chunks", 1), F.lit(""))
     snippet = truncate_bytes(first, size, "…") if size else F.array_join("chunks", "\n---\n")
     return rows.select("node_id", "score", "matched_sources", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("name", F.lit("")).alias("title"), snippet.alias("snippet"))
@@ -49,47 +67,106 @@ class Request:
     detail: str = "standard"
     max_results: int = 20
     vector: list[int] | None = None
+    deadline: float | None = DEADLINE
 
 
 @dataclass
-class Response:
+class Source:
+    name: str
     status: str
-    completeness: str
-    hits: DataFrame | None
-    sources: list[str] = field(default_factory=list)
+    latency_ms: int = 0
+    error_message: str = ""
+
+
+@dataclass
+class Response:
+    status: str = "ok"
+    completeness: str = "full"
+    hits: DataFrame | None = None
+    sources: list[Source] = field(default_factory=list)
     failed_sources: list[str] = field(default_factory=list)
+    retryable: bool = False
     warnings: list[str] = field(default_factory=list)
 
 
 def safe_error(text: str) -> str:
-    return next((v for k, v in SAFE_ERRORS if k in text.lower()), "source failed")
+    """What a client may see of an error."""
+    return next((v for k, v in SAFE_ERRORS if k in text.lower()), OTHER_ERROR) if text else ""
+
 
+def annotate(response: Response) -> Response:
+    """A partial response without warnings gets one."""
+    if response.completeness == "partial" and not response.warnings:
+        response.warnings = [PARTIAL]
+    return response
 
-def search_broadly(request: Request, files: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame | None = None, index: DataFrame | None = None) -> Response:
-    """All channels of the mode as one lazy plan, fused and shaped.
 
-    A mode of one source fails with its source. Without vectors to ask for, auto is silently lexical; semantic is an error.
+def run_sources(spark, plans: dict[str, Callable[[], DataFrame]], deadline: float | None) -> tuple[dict[str, list[Row]], list[Source], list[str]]:
+    """Runs the channels side by side: at most 100 rows of each, their states, and the names of those that were too late, whose jobs are cancelled."""
+    context, tag = spark.sparkContext, f"search-{uuid.uuid4().hex}"
+
+    def run(name: str) -> tuple[str, list[Row], Source]:
+        began = time.monotonic()
+        try:
+            context.addJobTag(tag)
+            rows = plans[name]().collect()
+            state, error = OK if rows else EMPTY, ""
+        except Exception as e:  # a failed source is reported, not raised
+            rows, state, error = [], DEGRADED, safe_error(str(e) or type(e).__name__)
+        return name, rows, Source(name, state, int(1000 * (time.monotonic() - began)), error)
+
+    pool = ThreadPoolExecutor(max(1, len(plans)))
+    futures = {pool.submit(run, name): name for name in plans}
+    done, late = wait(futures, timeout=deadline)
+    if late:
+        context.cancelJobsWithTag(tag)
+    pool.shutdown(wait=False, cancel_futures=True)
+    found = sorted((f.result() for f in done), key=lambda x: SOURCES.index(x[0]))
+    return {name: rows for name, rows, _ in found}, [s for *_, s in found], sorted(futures[f] for f in late)
+
+
+def search_broadly(
+    request: Request,
+    files: DataFrame,
+    nodes: DataFrame,
+    chunks: DataFrame,
+    embeddings: DataFrame | None = None,
+    index: search.Inverted | None = None,
+    embedder: Callable[[str], list[int]] | None = None,
+    gate: tuple[bool, str] = (True, ""),
+) -> Response:
+    """All channels of the mode side by side, fused and shaped.
+
+    A mode of one source fails with its source, an empty one excepted. Without vectors to ask for, auto is silently lexical;
+    semantic is an error. Any failed source makes the response degraded, partial and worth another try; so does one
+    that the deadline has cut off, with a warning. embedder: from a query to its int8 vector (wordpiece.QueryEmbedder).
     """
     most = clamp_k(request.max_results)
     wanted = MODES.get(request.mode, SOURCES)
-    lists, failed, warnings = {}, [], []
-    for source in wanted:
-        try:
-            if source == "fts":
-                lists[source] = search.fts_search(chunks, request.query, most, index)
-            elif source == "filename":
-                lists[source] = search.filename_search(files, nodes, request.query, request.max_results // 2 if request.mode == "auto" else most)
-            elif embeddings is not None and request.vector is not None:
-                lists[source] = search.vector_search(embeddings, chunks, request.vector, most)
-            elif request.mode == "semantic":
-                raise ValueError("no embedder")
-        except Exception as e:  # a failed source is reported, not raised
-            failed.append(source)
-            warnings.append(f"{source}: {safe_error(str(e))}")
-    if not lists:
-        return Response("error", "partial", None, [], failed, warnings or ["no source"])
-    hits = shape(fuse(lists, most), nodes, files, chunks, request.detail).orderBy(F.desc("score"), "node_id")
-    return Response("degraded" if failed else "ok", "partial" if failed else "full", hits, list(lists), failed, warnings)
+    plans: dict[str, Callable[[], DataFrame]] = {}
+    if "fts" in wanted:
+        plans["fts"] = lambda: search.fts_search(chunks, request.query, most, index)
+    if "filename" in wanted:
+        plans["filename"] = lambda: search.filename_search(files, nodes, request.query, most // 2)
+    if "vector" in wanted and embeddings is not None and (request.vector is not None or embedder is not None):
+        plans["vector"] = lambda: search.vector_search(embeddings, chunks, request.vector if request.vector is not None else embedder(request.query), most, gate=gate)
+    if not plans:
+        return annotate(Response("error", "partial", None, [], list(wanted)))
+    spark = chunks.sparkSession
+    found, sources, late = run_sources(spark, plans, request.deadline)
+    out = Response(sources=sources, failed_sources=[s.name for s in sources if s.status == DEGRADED])
+    if late:
+        out.status, out.completeness, out.warnings = "degraded", "partial", ["deadline exceeded"] * len(late)
+    if len(wanted) == 1 and (out.failed_sources or late):
+        out.status = "error"
+        return annotate(out)
+    lists = {name: spark.createDataFrame([(r.node_id, r.chunk_id, float(r.score)) for r in rows], SCORES) for name, rows in found.items() if rows}
+    empty = spark.createDataFrame([], "node_id long, score double, matched_sources string")
+    out.hits = shape(fuse(lists, most) if lists else empty, nodes, files, chunks, request.detail).orderBy(F.desc("score"), "node_id")
+    if out.failed_sources:
+        out.completeness, out.retryable = "partial", True
+        out.status = "degraded" if out.status == "ok" else out.status
+    return annotate(out)
 
 
 def render(hits: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,15 +25,34 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], keep: list[
     return joined.select(*out)
 
 
+#: Rows that the bounds of number_rows are chosen from, and ranges.
+SAMPLE, RANGES = 10_000, 200
+
+
+def number_rows(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds 1, 2, 3 ... in the order of a string column without nulls and repeats, without sorting all rows in one task.
+
+    Ranges of the column hold about equally many rows: their bounds come from a bounded sample by hash. A window numbers
+    the rows of each range, and the counts of the ranges before it, a table of at most RANGES rows, are added.
+    """
+    sample = sorted(r[0] for r in rows.select(by).orderBy(F.xxhash64(by), by).limit(SAMPLE).collect())
+    bounds = sorted(set(sample[:: max(1, len(sample) // RANGES)][1:]))
+    part = reduce(lambda a, b: a + (F.col(by) >= b).cast("int"), bounds, F.lit(0)) if len(bounds) < 2 else F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(by)))
+    ranged = rows.withColumn("_part", part)
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_part", "_before", "_row")
+
+
 def upsert_files(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """By path: the id and parent_dir stay, a soft delete is cleared, new paths get the next ids in path order."""
-    from pyspark.sql import Window
-
     merged = upsert(current, incoming, ["path"], keep=["file_id", "parent_dir"]).join(incoming.select("path", F.lit(True).alias("seen")), "path", "left")
     merged = merged.withColumn("deleted_at", F.when(F.col("seen"), F.lit(None).cast("long")).otherwise(F.col("deleted_at"))).drop("seen")
     top = F.broadcast(current.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top")))  # one row
-    old, new = merged.filter("file_id IS NOT NULL"), merged.filter("file_id IS NULL")
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("path"))).join(top, F.lit(True)).withColumn("file_id", F.col("top") + F.col("n")).drop("n", "top")
+    old, new = merged.filter("file_id IS NOT NULL"), incoming.join(current.select("path"), "path", "left_anti")
+    named = new.select(*(F.col(c) if c in new.columns else F.lit(None).cast(current.schema[c].dataType).alias(c) for c in current.columns if c != "file_id"))
+    numbered = number_rows(named.withColumn("deleted_at", F.lit(None).cast("long")), "path", "n").join(top, F.lit(True)).withColumn("file_id", F.col("top") + F.col("n"))
     return old.select(*current.columns).unionByName(numbered.select(*current.columns))
 
 

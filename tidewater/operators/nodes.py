@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DETAIL = {"brief": 1, "standard": 3, "full": 20}
-MOST_OPERATIONS = 32
+MOST_OPERATIONS, MOST_HITS = 32, 1000
 
 
 def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
@@ -20,11 +20,16 @@ def first_chunks(chunks: DataFrame, n: int) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, nodes: DataFrame, files: DataFrame, chunks: DataFrame, per_node: int = 2) -> DataFrame:
-    """Hits with node, file and first chunks; hits without a node stay. Hits are at most a few hundred rows: sent to the scans."""
-    ids = F.broadcast(hits.select("node_id").distinct())
-    some = chunks.join(ids, "node_id", "left_semi")
-    named = nodes.join(ids, "node_id", "left_semi").join(files.select("file_id", "path"), "file_id").select("node_id", "name", "node_type", F.coalesce("language", F.lit("")).alias("language"), "path")
-    return hits.join(named, "node_id", "left").join(first_chunks(some, per_node or 2), "node_id", "left")
+    """Hits with node, file and first chunks; hits without a node stay.
+
+    Hits are cut before, to a few hundred rows at most: they are evaluated once, and their ids become a filter that the
+    scans of nodes and chunks can use.
+    """
+    rows = hits.limit(MOST_HITS).collect()
+    hits = hits.sparkSession.createDataFrame(rows, hits.schema)
+    own = F.col("node_id").isin(sorted({r.node_id for r in rows if r.node_id is not None}))
+    named = nodes.filter(own).join(files.select("file_id", "path"), "file_id").select("node_id", "name", "node_type", F.coalesce("language", F.lit("")).alias("language"), "path")
+    return hits.join(F.broadcast(named), "node_id", "left").join(F.broadcast(first_chunks(chunks.filter(own), per_node or 2)), "node_id", "left")  # a row for each hit
 
 
 def get_nodes(nodes: DataFrame, files: DataFrame, ids: list[int]) -> DataFrame:

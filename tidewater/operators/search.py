@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,43 +23,74 @@ def query_terms(raw: str) -> list[str]:
     return _TERM.findall(text.lower())[:MOST_TERMS]
 
 
-def postings(chunks: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(term, chunk_id, tf): the inverted index."""
+@dataclass
+class Inverted:
+    """The inverted index: postings (term, chunk_id, node_id, tf, dl), terms (term, df) and corpus (one row: n, total).
+
+    A posting carries its chunk's node and length, so that a search reads the postings of its terms and joins nothing
+    but two tables of at most 64 rows and one row.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, chunk_id, node_id, tf, dl) of every chunk."""
     text = F.concat_ws(" ", "text", "header") if "header" in chunks.columns else F.col("text")
-    rows = chunks.select("chunk_id", F.explode(tokens(text)).alias("term"))
-    counted = rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    return stem_terms(counted).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf")) if stemmed else counted
+    words = chunks.select("chunk_id", "node_id", tokens(text).alias("words"))
+    rows = words.select("chunk_id", "node_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    counted = rows.groupBy("term", "chunk_id", "node_id", "dl").agg(F.count("*").alias("tf"))
+    if stemmed:
+        counted = stem_terms(counted).groupBy("term", "chunk_id", "node_id", "dl").agg(F.sum("tf").alias("tf"))
+    return counted.select("term", "chunk_id", "node_id", "tf", "dl")
+
 
+def term_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
 
-def doc_lengths(chunks: DataFrame) -> DataFrame:
+
+def corpus_of(chunks: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "text", "header") if "header" in chunks.columns else F.col("text")
-    return chunks.select("chunk_id", F.size(tokens(text)).alias("dl"))
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(text)).cast("long")), F.lit(0)).alias("total"))
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row: n rows, average length."""
-    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings as they are written: in ranges of terms, so that statistics of the files lead a search to its terms."""
+    return rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
-def bm25(index: DataFrame, lengths: DataFrame, terms: list[str], stemmed: bool = False) -> DataFrame:
-    """(chunk_id, score) of every chunk with any of the terms; a term that is asked for twice counts twice.
+def invert(chunks: DataFrame, stemmed: bool = True) -> Inverted:
+    rows = postings(chunks, stemmed)
+    return Inverted(rows, term_counts(rows), corpus_of(chunks))
 
-    The list of at most 64 terms is pushed into the scan of the index; document frequencies come from what it leaves.
-    """
+
+def wanted_terms(terms: list[str], stemmed: bool = True) -> dict[str, int]:
+    """Terms as the index has them, with how often each is asked for."""
     wanted: dict[str, int] = {}
     for t in terms:
         t = stem(fold(t)) if stemmed else t
         wanted[t] = wanted.get(t, 0) + 1
+    return wanted
+
+
+def bm25(index: Inverted, terms: list[str], stemmed: bool = True) -> DataFrame:
+    """(node_id, chunk_id, score) of every chunk with any of the terms; a term that is asked for twice counts twice.
+
+    The list of at most 64 terms is pushed into the scans of postings and terms.
+    """
+    wanted = wanted_terms(terms, stemmed)
     if not wanted:
-        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    hits = index.filter(F.col("term").isin(*wanted))
+        return index.postings.select("node_id", "chunk_id", F.lit(0.0).alias("score")).limit(0)
+    mine = F.col("term").isin(*wanted)
     weight = reduce(lambda c, kv: c.when(F.col("term") == kv[0], kv[1]), wanted.items(), F.when(F.lit(False), 0))
-    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each of at most 64 terms
-    stats = F.broadcast(corpus_stats(lengths))  # one row
+    df = F.broadcast(index.terms.filter(mine))  # a row for each of at most 64 terms
+    corpus = F.broadcast(index.corpus.select("n", (F.col("total") / F.col("n")).alias("avgdl")))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(df, "term").join(lengths, "chunk_id").join(stats, F.lit(True)).groupBy("chunk_id").agg(F.sum(part).alias("score"))
+    return index.postings.filter(mine).join(df, "term").join(corpus, F.lit(True)).groupBy("node_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def scan_bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
@@ -87,17 +119,23 @@ def scan_bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:
     return counted.filter(hit).join(F.broadcast(totals), F.lit(True)).select("node_id", "chunk_id", score.alias("score"))
 
 
-def fts_search(chunks: DataFrame, query: str, k: int = 20, index: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    """Top chunks by BM25: from an index if there is one, or if stems are asked for, else by a scan."""
-    if index is None and not stemmed and (terms := query_terms(query)):
-        return scan_bm25(chunks, terms).orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
-    index = postings(chunks, stemmed) if index is None else index
-    scored = bm25(index, doc_lengths(chunks), query_terms(query), stemmed)
-    return scored.join(chunks.select("chunk_id", "node_id"), "chunk_id").select("node_id", "chunk_id", "score").orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
+def fts_search(chunks: DataFrame, query: str, k: int = 20, index: Inverted | None = None, stemmed: bool = True) -> DataFrame:
+    """Top chunks by BM25 over stems, from an index if there is one. Without stems and index the texts are scanned."""
+    terms = query_terms(query)
+    if index is None and not stemmed and terms:
+        scored = scan_bm25(chunks, terms)
+    else:
+        scored = bm25(invert(chunks, stemmed) if index is None else index, terms, stemmed)
+    return scored.orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
+
 
+def vector_search(embeddings: DataFrame, chunks: DataFrame | None, query: list[int], k: int = 20, dimension: int | None = None, gate: tuple[bool, str] = (True, "")) -> DataFrame:
+    """Exact nearest int8 vectors by Euclidean distance; the cut comes before the join with chunks.
 
-def vector_search(embeddings: DataFrame, chunks: DataFrame | None, query: list[int], k: int = 20, dimension: int | None = None) -> DataFrame:
-    """Exact nearest int8 vectors by Euclidean distance; the cut comes before the join with chunks."""
+    gate: what Store.semantic_compatible says; a closed one is an error, which a broad search reports as a degraded source.
+    """
+    if not gate[0]:
+        raise RuntimeError(f"DEGRADED: embeddings are not compatible: {gate[1]}")
     if dimension is not None and len(query) != dimension:
         raise ValueError(f"CONTRACT_ERROR: a query has {len(query)} components, the index {dimension}")
     d = l2_distance(F.col("embedding"), F.lit(list(query)).cast("array<tinyint>"))

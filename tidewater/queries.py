@@ -6,19 +6,22 @@ keyword search, each document), vectors from ``embeddings``, the audit log from
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as X
-from .functions.porter import tokens
+from .functions.porter import fold, stem, tokens
 from .operators import admin, browse, catalog, chunks, fusion, merge, nodes, search
+from .session import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-QUERY, TOKENS = "der und wird", "src7 en"
+QUERY, TOKENS = "Thes re thtied", "src7 en"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -141,14 +144,26 @@ RESCANNED = """, rescanned AS (
 
 # ---- retrieval --------------------------------------------------------------------------------------------------
 
-_BM25 = r""", words AS (SELECT chunk_id, node_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM texts),
-tf AS (SELECT term, chunk_id, count(*) AS tf FROM words GROUP BY ALL),
+def surface_forms(query: str) -> dict[str, list[str]]:
+    """For SQL, which has no stemmer: the forms without accents that the stems of a query have, built with common endings."""
+    endings = ["", "s", "e", "es", "ed", "ing", "y", "ies", "ied", "er", "ers", "ation", "ness", "ful", "ly", "al", "able", "ment", "ou", "eed"]
+    out = {}
+    for t in search.query_terms(query):
+        base = stem(fold(t))
+        out[base] = sorted({w for a, b in product(endings, endings) if stem(w := base + a + b) == base} | {w for a in endings if stem(w := base[:-1] + "y" + a) == base})
+    return out
+
+
+FORMS = surface_forms(QUERY)
+_STEM = "CASE " + " ".join(f"WHEN strip_accents(raw) IN ({', '.join(repr(w) for w in forms)}) THEN '{base}'" for base, forms in FORMS.items()) + " ELSE raw END"
+_BM25 = r""", words AS (SELECT chunk_id, node_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS raw FROM texts),
+tf AS (SELECT """ + _STEM + r""" AS term, chunk_id, count(*) AS tf FROM words GROUP BY ALL),
 dl AS (SELECT chunk_id, node_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS dl FROM texts),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 fts AS (
   SELECT node_id, chunk_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
-  FROM tf JOIN df USING (term) JOIN dl USING (chunk_id), st WHERE term IN ('der', 'und', 'wird') GROUP BY ALL ORDER BY score DESC, node_id, chunk_id LIMIT 20
+  FROM tf JOIN df USING (term) JOIN dl USING (chunk_id), st WHERE term IN (""" + ", ".join(map(repr, FORMS)) + r""") GROUP BY ALL ORDER BY score DESC, node_id, chunk_id LIMIT 20
 ),
 asked AS (SELECT embedding AS q FROM vectors ORDER BY chunk_id LIMIT 1),
 knn AS (
@@ -173,8 +188,27 @@ def as_nodes(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("chunk_id").alias("node_id"), "chunk_id", "score")
 
 
+_INDEXES: dict[tuple[str, str], search.Inverted] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> search.Inverted:
+    """The inverted index of a folder's texts. It is written once for a session, as index_folder leaves one in its store."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+
+        def write(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{base}/{name}")
+            return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
+
+        own = spread(texts(spark, d))
+        rows = write(search.by_term(search.postings(own)), "postings")
+        _INDEXES[key] = search.Inverted(rows, write(search.term_counts(rows), "terms"), write(search.corpus_of(own), "corpus"))
+    return _INDEXES[key]
+
+
 def fts(spark: SparkSession, d: str) -> DataFrame:
-    return search.fts_search(texts(spark, d), QUERY)
+    return search.fts_search(texts(spark, d), QUERY, index=index_of(spark, d))
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
@@ -219,7 +253,7 @@ def hybrid(spark, d):
 
 
 _HYDRATE = _BM25 + """, ranked AS (SELECT node_id, text, row_number() OVER (PARTITION BY node_id ORDER BY chunk_id) AS rn FROM chunks),
-firsts AS (SELECT node_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rn) FILTER (WHERE rn <= 2) AS two, max(text) FILTER (WHERE rn = 1) AS one, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rn) FILTER (WHERE rn <= 20) AS twenty FROM ranked GROUP BY node_id)
+firsts AS (SELECT node_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rn) FILTER (WHERE rn <= 2) AS two, max(text) FILTER (WHERE rn = 1) AS one FROM ranked GROUP BY node_id)
 """
 
 
@@ -229,7 +263,7 @@ def _(spark, d):
     return rows.select("node_id", F.round("score", 12).alias("score"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce(F.array_join("chunks", "\n---\n"), F.lit("")).alias("body"))
 
 
-@query("search_full", _HYDRATE + "SELECT f.node_id, round(score, 12) AS score, matched_sources, coalesce(path, '') AS path, coalesce(name, '') AS title, twenty AS snippet FROM fused f LEFT JOIN nodes n ON f.node_id = n.node_id LEFT JOIN files USING (file_id) LEFT JOIN firsts x ON f.node_id = x.node_id")
+@query("search_full", _HYDRATE + "SELECT f.node_id, round(score, 12) AS score, matched_sources, coalesce(path, '') AS path, coalesce(name, '') AS title, two AS snippet FROM fused f LEFT JOIN nodes n ON f.node_id = n.node_id LEFT JOIN files USING (file_id) LEFT JOIN firsts x ON f.node_id = x.node_id")
 def _(spark, d):
     return fusion.shape(fused(spark, d), node_view(spark, d), files(spark, d), line_chunks(spark, d), "full").withColumn("score", F.round("score", 12))
 
@@ -416,7 +450,7 @@ def _(spark, d):
 
 @query("audit_redact", "SELECT doc_id, " + "regexp_replace(" * len(X.SECRETS) + "text" + "".join(f", '{p}', '[REDACTED]', 'g')" for p in X.SECRETS) + " AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.redact(F.col("text")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.redact(F.col("text")).alias("text"))
 
 
 # ---- scalars, quality -------------------------------------------------------------------------------------------
@@ -502,11 +536,33 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("prose_chunks")
+@query("fts_porter", _BM25 + "SELECT node_id, chunk_id, round(score, 9) AS score FROM fts")
+def _(spark, d):
+    """Without a written index."""
+    return rounded(search.fts_search(spread(texts(spark, d)), QUERY))
+
+
+@query("fts_scan", r""", dl AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts),
+tf AS (SELECT chunk_id, t, len(list_filter(w, lambda x: x = t)) AS tf, len(w) AS dl FROM dl, (SELECT unnest(['the', 'of']) AS t)),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dl), df AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY t)
+SELECT chunk_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
+FROM tf JOIN df USING (t), st WHERE tf > 0 GROUP BY chunk_id""")
 def _(spark, d):
-    return chunks.prose_chunks(table(spark, d, "documents"))
+    """Without stems and index: all scores, as ties of the least weights would make a cut arbitrary."""
+    return search.scan_bm25(texts(spark, d), ["the", "of"]).select("chunk_id", F.round("score", 12).alias("score"))
 
 
-@query("fts_porter")
+_LETTERS = r"[^\p{L}\p{N}]"
+
+
+@query("prose_chunks", rf"SELECT doc_id, true AS exact, true AS small, length(regexp_replace(text, '{_LETTERS}', '', 'g')) AS letters FROM documents WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')")
 def _(spark, d):
-    return rounded(search.fts_search(texts(spark, d), QUERY, stemmed=True))
+    """Every chunk is what the source has at its offsets, has at most 260 words, and no letter is lost or repeated."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    rows = chunks.prose_chunks(docs).join(docs.withColumnRenamed("text", "source"), "doc_id")
+    exact = F.expr("substring(encode(source, 'UTF-8'), CAST(byte_start AS INT) + 1, CAST(byte_end - byte_start AS INT))") == F.encode("text", "UTF-8")
+    letters = F.sum(F.char_length(F.regexp_replace("text", _LETTERS, "")))
+    return rows.withColumn("exact", exact).groupBy("doc_id").agg(F.bool_and("exact").alias("exact"), F.bool_and(F.col("token_count") <= 260).alias("small"), letters.alias("letters")).filter("letters > 0")
+
+
+from . import sample_queries  # noqa: E402, F401  (adds the rest)

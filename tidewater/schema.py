@@ -28,6 +28,9 @@ EDGES = ddl("edge_id long, src_node long, dst_node long, edge_type string, prope
 CHUNKS = ddl("chunk_id long, node_id long, text string, byte_start long, byte_end long, token_count int, chunk_kind string, header string, deleted_at long")
 EMBEDDINGS = StructType([StructField("chunk_id", LongType()), StructField("embedding", ArrayType(ByteType()))])
 LEDGER = ddl("file_id long, pass_name string, status string, checkpoint_at long, error_message string")
+POSTINGS = ddl("term string, chunk_id long, node_id long, tf long, dl long")
+TERMS = ddl("term string, df long")
+CORPUS = ddl("n long, total long")
 COMMUNITIES = ddl("community_id long, label string, size long")
 BLOBS = ddl("blob_id long, sha256 binary, blob_type string, size long, refcount long")
 BLOB_REFS = ddl("blob_id long, node_id long")
@@ -36,7 +39,7 @@ TOOLS = StructType([*(StructField(n, StringType()) for n in ("name", "source_fil
 RESOURCES = ddl("name string, file_path string, mime_type string, size_bytes long, resource_type string, state string, updated_at timestamp")
 AUDIT = ddl("id long, tool_name string, action string, params string, caller string, result_status string, timestamp timestamp")
 TABLES = {
-    "files": FILES, "nodes": NODES, "edges": EDGES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "pipeline_state": LEDGER, "communities": COMMUNITIES,
+    "files": FILES, "nodes": NODES, "edges": EDGES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "pipeline_state": LEDGER, "communities": COMMUNITIES, "postings": POSTINGS, "terms": TERMS, "corpus": CORPUS,
     "blobs": BLOBS, "blob_refs": BLOB_REFS, "llm_enrichments": ENRICHMENTS, "tools": TOOLS, "resources": RESOURCES, "audit_log": AUDIT,
 }
 SCORES = StructType([StructField("node_id", LongType()), StructField("chunk_id", LongType()), StructField("score", DoubleType())])

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 RECORD = "timestamp string, tool_name string, action string, params string, caller string, result_status string, _corrupt_record string"
 
 
-def append(rows: DataFrame, path: str, most_records: int = 50_000) -> None:
-    """Adds files of bounded length: what rotation is for one growing file."""
+def append(rows: DataFrame, path: str, most_bytes: int = 10 << 20) -> None:
+    """Adds records to the log. A log that has reached ``most_bytes`` before becomes the one backup, path.1, and a new one begins."""
+    spark = rows.sparkSession
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    log, backup = paths(path), paths(f"{path}.1")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(log) and fs.getContentSummary(log).getLength() >= most_bytes:
+        fs.delete(backup, True)
+        fs.rename(log, backup)
     stamp = F.date_format(F.coalesce("timestamp", F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows.withColumn("timestamp", stamp).write.mode("append").option("maxRecordsPerFile", most_records).json(path)
+    rows.withColumn("timestamp", stamp).write.mode("append").json(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

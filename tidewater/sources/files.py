@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..operators.tools import TOOL, tools_of
 
 #: Fixed values.
 PRUNED = (".git", "node_modules", "__pycache__", ".venv", "venv", "target", "dist", "build", ".tidewater")
-MOST_BYTES, MOST_RESOURCE, SAMPLE = 32 << 20, 50 << 20, 8192
+MOST_BYTES, MOST_RESOURCE, MOST_HASHED, SAMPLE = 32 << 20, 50 << 20, 1 << 30, 8192
 CODE = (".py", ".ts", ".js", ".sh")
 RESOURCES = {
     ".pdf": ("application/pdf", "document"), ".md": ("text/markdown", "document"), ".txt": ("text/plain", "document"), ".doc": ("application/msword", "document"),
@@ -26,9 +28,20 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, "^[a-z0-9+]+:/*(?=/)", "")
 
 
-def raw_files(spark: SparkSession, root: str, ignore: list[str] = (), include_dotenv: bool = False) -> DataFrame:
-    """path, length, modificationTime, content of every file below a folder. Pruned folders and dot-files are left out before content is read."""
+def root_path(root: str) -> str:
+    """A root as the paths of its files have it: without scheme, with a slash at the end."""
+    return re.sub(r"^[a-z0-9+]+:/*(?=/)", "", root).rstrip("/") + "/"
+
+
+def raw_files(spark: SparkSession, root: str | list[str], ignore: list[str] = (), include_dotenv: bool = False, most: int | None = None) -> DataFrame:
+    """path, length, modificationTime, content of every file below a folder, or of listed files.
+
+    Pruned folders and dot-files are left out. Files over ``most`` bytes are left out by the source, before it opens them;
+    where content isn't selected, no file is opened.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if most is not None:
+        rows = rows.filter(F.col("length") <= most)
     path = local_path(F.col("path"))
     name = F.substring_index(path, "/", -1)
     pruned = "|".join(p.replace(".", "[.]") for p in PRUNED)
@@ -37,27 +50,35 @@ def raw_files(spark: SparkSession, root: str, ignore: list[str] = (), include_do
 
 
 def walk(spark: SparkSession, root: str, run_start: int, ignore: list[str] = (), include_dotenv: bool = False) -> DataFrame:
-    """Rows for the files table (without file_id). Whole contents are hashed; the class comes from the path and a sample."""
+    """Rows for the files table (without file_id). Contents are hashed; the class comes from the path and a sample.
+
+    A file over 1 GiB isn't opened: its hash is that of its path, length and time of change, its class that of its path.
+    """
     sample = F.substring("content", 1, SAMPLE)
-    rows = raw_files(spark, root, ignore, include_dotenv)
     mime = mime_of(sample)
-    return rows.select(
-        "path", F.unhex(content_hash(F.col("content"))).alias("sha256"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), mime.alias("mime"),
-        content_class(F.col("path"), mime, sample).alias("content_class"), parent_dir(F.col("path")).alias("parent_dir"), F.lit(run_start).cast("long").alias("last_seen"), F.lit(None).cast("long").alias("deleted_at"),
+    rows = raw_files(spark, root, ignore, include_dotenv, MOST_HASHED)
+    opened = rows.select("path", "length", "modificationTime", F.unhex(content_hash(F.col("content"))).alias("sha256"), mime.alias("mime"), content_class(F.col("path"), mime, sample).alias("content_class"))
+    large = raw_files(spark, root, ignore, include_dotenv).filter(F.col("length") > MOST_HASHED)
+    stat = F.concat_ws(" ", "path", F.col("length").cast("string"), F.unix_timestamp("modificationTime").cast("string"))
+    closed = large.select("path", "length", "modificationTime", F.unhex(content_hash(stat)).alias("sha256"), F.lit("application/octet-stream").alias("mime"), content_class(F.col("path")).alias("content_class"))
+    return opened.unionByName(closed).select(
+        "path", "sha256", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "mime", "content_class", parent_dir(F.col("path")).alias("parent_dir"),
+        F.lit(run_start).cast("long").alias("last_seen"), F.lit(None).cast("long").alias("deleted_at"),
     )
 
 
-def contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, failure): text of files up to 32 MiB, a reason for the others. Larger ones aren't decoded."""
-    rows = raw_files(spark, root)
-    failure = F.when(F.col("length") > MOST_BYTES, F.concat(F.lit("file too large: "), F.col("length").cast("string"))).when(is_binary(F.col("content")), "binary_content_detected")
-    return rows.select("path", F.when(failure.isNull(), F.decode("content", "UTF-8")).alias("text"), failure.alias("failure"))
+def contents(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, text, failure): text of files up to 32 MiB, a reason for the others, which aren't opened."""
+    small = raw_files(spark, root, most=MOST_BYTES).withColumn("failure", F.when(is_binary(F.col("content")), "binary_content_detected"))
+    texts = small.select("path", F.when(F.col("failure").isNull(), F.decode("content", "UTF-8")).alias("text"), "failure")
+    large = raw_files(spark, root).filter(F.col("length") > MOST_BYTES)
+    return texts.unionByName(large.select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("file too large: "), F.col("length").cast("string")).alias("failure")))
 
 
 def scan_tools(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """name, source_file, description, input_schema, risk, language, content_hash of every tool below a folder."""
-    base = root.rstrip("/") + "/"
-    rows = raw_files(spark, root).filter(F.col("length") <= MOST_BYTES)
+    base = root_path(root)
+    rows = raw_files(spark, root, most=MOST_BYTES)
     rows = rows.filter(matches_globs(F.substring(F.col("path"), len(base) + 1, 1 << 20), list(include), list(exclude)))
 
     @F.pandas_udf(TOOL)
@@ -69,8 +90,8 @@ def scan_tools(spark: SparkSession, root: str, include: list[str] = (), exclude:
 
 def scan_resources(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """name, file_path, mime_type, size_bytes, resource_type of known kinds up to 50 MiB; no code, no .env files."""
-    base = root.rstrip("/") + "/"
-    rows = raw_files(spark, root).filter(F.col("length") <= MOST_RESOURCE)
+    base = root_path(root)
+    rows = raw_files(spark, root, most=MOST_RESOURCE)
     rows = rows.filter(matches_globs(F.substring(F.col("path"), len(base) + 1, 1 << 20), list(include), list(exclude)) & ~F.substring_index("path", "/", -1).startswith(".env"))
     kinds = F.broadcast(spark.createDataFrame([(k, *v) for k, v in RESOURCES.items() if k not in CODE], "ext string, mime_type string, resource_type string"))
     return rows.withColumn("ext", F.lower(extension(F.col("path")))).join(kinds, "ext").select(F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("file_path"), "mime_type", F.col("length").alias("size_bytes"), "resource_type")

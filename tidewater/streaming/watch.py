@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import threading
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +46,38 @@ def changes(stream: DataFrame) -> DataFrame:
     return stream.groupBy("path").applyInPandasWithState(_changes, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class EventBuffer:
+    """Holds a bounded number of events between a watcher and its reader; while it is full, new ones are dropped and counted."""
+
+    def __init__(self, most: int = 64):
+        self.most, self.dropped, self._events, self._lock = most, 0, deque(), threading.Lock()
+
+    def put(self, event) -> bool:
+        with self._lock:
+            if len(self._events) >= self.most:
+                self.dropped += 1
+                return False
+            self._events.append(event)
+            return True
+
+    def drain(self) -> list:
+        with self._lock:
+            out, self._events = list(self._events), deque()
+        return out
+
+
 class Watcher:
-    """Polls a folder; each poll is a snapshot difference. A failed scan keeps the last snapshot and is counted."""
+    """Polls a folder; each poll is a snapshot difference. A failed scan keeps the last snapshot and is counted.
 
-    def __init__(self, spark: SparkSession, root: str, warn_after: int = 3):
+    A snapshot is a table in ``state``, by default below spark.checkpoint.dir.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, warn_after: int = 3, state: str | None = None):
         self.spark, self.root, self.warn_after = spark, root, warn_after
+        base = state or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewater-watch-")
+        self.state = f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
         self.last: DataFrame | None = None
-        self.failures = 0
+        self.failures = self.polls = 0
 
     def poll(self) -> tuple[DataFrame | None, str | None]:
         from ..operators.merge import snapshot_diff
@@ -56,7 +85,9 @@ class Watcher:
 
         try:
             rows = raw_files(self.spark, self.root).select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
-            held = self.spark.createDataFrame(rows.collect(), "path string, mtime long, size long")  # the names of one watched folder
+            self.polls += 1
+            rows.write.parquet(f"{self.state}/{self.polls:09d}")
+            held = self.spark.read.schema("path string, mtime long, size long").parquet(f"{self.state}/{self.polls:09d}")
         except Exception as e:
             self.failures += 1
             return None, f"{self.failures} scans failed: {e}" if self.failures >= self.warn_after else None
@@ -64,7 +95,22 @@ class Watcher:
         before, self.last = self.last, held
         return (snapshot_diff(before, held) if before is not None else None), None
 
+    def run(self, scan: Callable[[], object], buffer: EventBuffer, stop: threading.Event, network: bool = False, every: float | None = None) -> None:
+        """Polls until ``stop`` is set. Changes go to the buffer, and any change calls ``scan`` for a whole new scan."""
+        while not stop.is_set():
+            found, _ = self.poll()
+            events = found.limit(buffer.most + 1).collect() if found is not None else []  # no more than the buffer can take
+            for e in events:
+                buffer.put((e.path, e.change))
+            if events:
+                scan()
+            stop.wait(INTERVALS[network] if every is None else every)
+
+
+#: Seconds between polls: shares over a network are polled less often.
+INTERVALS = {False: 2.0, True: 5.0}
+
 
 def interval(network: bool) -> str:
-    """How often to poll: shares over a network less often."""
-    return "5 seconds" if network else "2 seconds"
+    """The trigger of a stream over polled snapshots."""
+    return f"{INTERVALS[network]:.0f} seconds"
