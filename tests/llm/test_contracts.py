@@ -112,11 +112,12 @@ def test_decontamination(spark, folder):
     assert result(spark, "op5_decontamination", folder) == brute.op5(documents(), items)
 
 
-@pytest.mark.parametrize("block", [2048, 4])
+@pytest.mark.parametrize("block", [16384, 4])
 def test_embeddings(spark, folder, monkeypatch, block):
     from tidewater.llm import embedding_dedup
 
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "TILE", block)
     monkeypatch.setattr(embedding_dedup, "PER_CELL", 15)
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     # the repeated row of one vec_id comes out twice and counts once

@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, read
 from .graph import components, deal, spanning
 
-#: Rows that k-means is fitted on; nodes for each cell aimed at, and cells at most; block of a large cell; rows of a bin.
-SAMPLE, PER_CELL, CELLS, BLOCK, BIN = 20_000, 500, 1024, 2048, 20_000
+#: Rows that k-means is fitted on; nodes for each cell aimed at, and cells at most; rows of a large cell's block, rows of a bin.
+#: Fewer and larger cells make fewer guests (3.6 a node with 10 cells of the check's vectors, 10.6 with 200), products are cheap.
+SAMPLE, PER_CELL, CELLS, BLOCK, BIN = 65_536, 2000, 16_384, 16_384, 20_000
+#: Rows of a product, and rows that are placed at a time.
+TILE, AT_ONCE = 2048, 256
 ROUNDS = 8
 
 
@@ -73,7 +76,7 @@ def fit(nodes: DataFrame, k: int, sample: int) -> dict[int, np.ndarray]:
         x = unit(own)
         c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
         for _ in range(ROUNDS):
-            near = np.argmax(x @ c.T, axis=1)
+            near = np.concatenate([np.argmax(x[a : a + TILE] @ c.T, axis=1) for a in range(0, len(x), TILE)])
             new = np.zeros_like(c)
             np.add.at(new, near, x)
             length = np.sqrt((new * new).sum(axis=1))
@@ -90,9 +93,8 @@ def place(nodes: DataFrame, centroids: dict[int, np.ndarray], threshold: float)
     schema = pa.schema([("key", pa.int64()), ("home", pa.bool_()), ("id", pa.int64()), ("weight", pa.int64()), ("embedding", pa.list_(pa.float64())), ("at", pa.int32()), ("also", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart = {d: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for d, c in cast.value.items()}
         for whole in batches:
-            for batch in (whole.slice(s, 1024) for s in range(0, whole.num_rows, 1024)):
+            for batch in (whole.slice(s, AT_ONCE) for s in range(0, whole.num_rows, AT_ONCE)):
                 label, node, weight, vectors = (batch.column(c).to_pylist() for c in ("label", "node", "weight", "embedding"))
                 size = np.array([len(v) for v in vectors])
                 for d in np.unique(size).tolist():
@@ -102,7 +104,9 @@ def place(nodes: DataFrame, centroids: dict[int, np.ndarray], threshold: float)
                     score = x @ c.T
                     home = np.argmax(score, axis=1)
                     gap = score[np.arange(len(own)), home][:, None] - score
-                    guest = gap <= reach / 2 * apart.get(d, np.zeros((1, 1)))[home] + 1e-12
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * c[home] @ c.T))
+                    apart[np.arange(len(own)), home] = 0
+                    guest = gap <= reach / 2 * apart + 1e-12
                     row, cell = np.nonzero(guest)
                     key = lambda i, c: xxhash.xxh64_intdigest(f"{d} {c} {label[own[i]]}".encode()) - (1 << 63)  # noqa: B023, E731
                     also = [[c for c in part if c != o] for part, o in zip(map(np.ndarray.tolist, np.split(cell, np.flatnonzero(np.diff(row)) + 1)), home.tolist())]
@@ -129,12 +133,12 @@ def products(table: pa.Table, threshold: float) -> tuple[list, list, list]:
         if not len(h) or not len(g):
             continue
         y = vectors(g)
-        for at in range(0, len(h), BLOCK):
-            part = h[at : at + BLOCK]
+        for at in range(0, len(h), TILE):
+            part = h[at : at + TILE]
             x = vectors(part)
             sums, p, q = np.zeros(len(part), np.int64), [], []
-            for to in range(0, len(g), BLOCK):
-                i, j = np.nonzero(x @ y[to : to + BLOCK].T >= threshold)
+            for to in range(0, len(g), TILE):
+                i, j = np.nonzero(x @ y[to : to + TILE].T >= threshold)
                 j += to
                 other = node[part[i]] != node[g[j]]
                 i, j = i[other], j[other]
