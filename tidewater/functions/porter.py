@@ -93,6 +93,7 @@ def fold_and_stem(terms: pd.Series) -> pd.Series:
 
 
 def stem_terms(postings: DataFrame) -> DataFrame:
-    """(term, ...) with stems for terms. Each distinct term is stemmed once, not each occurrence."""
-    stems = postings.select("term").distinct().withColumn("stem", fold_and_stem("term"))
+    """(term, ...) with stems for terms. Each distinct term is stemmed once, not each occurrence, by as many tasks as there are cores."""
+    terms = postings.select("term").distinct().repartition(postings.sparkSession.sparkContext.defaultParallelism, "term")
+    stems = terms.withColumn("stem", fold_and_stem("term"))
     return postings.join(stems, "term").drop("term").withColumnRenamed("stem", "term")

@@ -78,7 +78,8 @@ def wanted_terms(terms: list[str], stemmed: bool = True) -> dict[str, int]:
 def bm25(index: Inverted, terms: list[str], stemmed: bool = True) -> DataFrame:
     """(node_id, chunk_id, score) of every chunk with any of the terms; a term that is asked for twice counts twice.
 
-    The list of at most 64 terms is pushed into the scans of postings and terms.
+    The list of at most 64 terms is pushed into the scans of postings and terms. Scores are rounded to 12 digits, so that chunks
+    with equal counts tie in whatever order their terms are added up.
     """
     wanted = wanted_terms(terms, stemmed)
     if not wanted:
@@ -90,7 +91,7 @@ def bm25(index: Inverted, terms: list[str], stemmed: bool = True) -> DataFrame:
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return index.postings.filter(mine).join(df, "term").join(corpus, F.lit(True)).groupBy("node_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return index.postings.filter(mine).join(df, "term").join(corpus, F.lit(True)).groupBy("node_id", "chunk_id").agg(F.round(F.sum(part), 12).alias("score"))
 
 
 def scan_bm25(chunks: DataFrame, terms: list[str]) -> DataFrame:

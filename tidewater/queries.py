@@ -162,7 +162,7 @@ dl AS (SELECT chunk_id, node_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 fts AS (
-  SELECT node_id, chunk_id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+  SELECT node_id, chunk_id, round(sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 12) AS score
   FROM tf JOIN df USING (term) JOIN dl USING (chunk_id), st WHERE term IN (""" + ", ".join(map(repr, FORMS)) + r""") GROUP BY ALL ORDER BY score DESC, node_id, chunk_id LIMIT 20
 ),
 asked AS (SELECT embedding AS q FROM vectors ORDER BY chunk_id LIMIT 1),
