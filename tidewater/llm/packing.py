@@ -27,8 +27,8 @@ from .tokens import BYTE_BPE, is_safe, merger, path, tokenizer
 
 MODEL = "byte_bpe_50k"
 END_ID = b"\0\0\0\0"
-#: Pre-tokens whose ids a worker remembers, characters of one that is remembered, and examples packed at a time.
-REMEMBER, SHORT, EXAMPLES = 200_000, 64, 4096
+#: Pre-tokens whose ids a worker remembers, twice at most; characters of one that is remembered; examples packed at a time.
+REMEMBER, SHORT, EXAMPLES = 150_000, 64, 4096
 #: Pieces of a sequence at most: so many documents an attention mask is built for.
 SEGMENTS = 8
 OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
@@ -43,20 +43,23 @@ class Encoder:
     """
 
     def __init__(self, where: str):
-        self.tok, self.known, self.merge = tokenizer(f"{where}.json"), {}, merger(f"{where}.tiktoken")
+        self.tok, self.known, self.old, self.merge = tokenizer(f"{where}.json"), {}, {}, merger(f"{where}.tiktoken")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [BYTE_BPE.findall(x) if is_safe(x) and "<|" not in x else None for x in texts]
-        missing = {w for words in cut if words for w in words}.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBER:
-            self.known = {}
-            missing = {w for words in cut if words for w in words}
-        self.known.update((w, array("I", self.merge(w.encode())).tobytes()) for w in missing)
-        get = self.known.__getitem__
+        words = {w for own in cut if own for w in own}
+        missing = words.difference(self.known)
+        if len(self.known) + len(missing) > REMEMBER:  # what is met again is taken over
+            self.old, self.known, missing = self.known, {}, words
+        known, old, merge = self.known, self.old, self.merge
+        for w in missing:
+            ids = old.get(w)
+            known[w] = array("I", merge(w.encode())).tobytes() if ids is None else ids
+        get = known.__getitem__
         out = [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(cut, texts)]
         for w in missing:
             if len(w) > SHORT:
-                del self.known[w]
+                del known[w]
         return out
 
 

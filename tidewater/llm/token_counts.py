@@ -2,8 +2,8 @@
 
 Offline, every string of the vocabulary that stands for a whole word is encoded alone; those that give one token are
 proven, and a pre-token that is one of them counts 1 without any merging. The other pre-tokens of a batch are merged by
-the library, each distinct one once, with a bounded table of those met before: at most REMEMBER pre-tokens of at most
-SHORT characters. Longer ones are merged for their batch and forgotten.
+the library, each distinct one once, with a bounded table of those met before: at most twice REMEMBER pre-tokens of at
+most SHORT characters. Longer ones are merged for their batch and forgotten.
 
 Texts with characters outside ``tokens.SAFE``, before or after lower-casing, or with the start of a special token in them
 are counted by the library as a whole. A null or empty text has no tokens.
@@ -20,8 +20,8 @@ from .common import as_bytes, batch_of, read, slices
 from .tokens import WORD_BPE, is_safe, path, tokenizer
 
 MODEL = "word_bpe_49k.json"
-#: Pre-tokens whose counts a worker remembers, and characters of one that is remembered.
-REMEMBER, SHORT = 200_000, 64
+#: Pre-tokens whose counts a worker remembers, twice at most, and characters of one that is remembered.
+REMEMBER, SHORT = 150_000, 64
 #: Marks the end of a word in the vocabulary.
 END = "</w>"
 
@@ -43,6 +43,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, folder: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, one = tokenizer(where), dict.fromkeys(whole.value, 1)
         known: dict[str, int] = dict(one)
+        old: dict[str, int] = {}
         for batch in slices(batches, "text"):
             texts = [x.decode("utf-8", "replace") for x in as_bytes(batch.column("text"))]
             sizes = [len(x.encode()) for x in texts]
@@ -56,10 +57,12 @@ def count_tokens(docs: DataFrame, limit: int = 2048, folder: str | None = None)
                 else:
                     other.append(i)
             missing.difference_update(known)
-            if len(known) + len(missing) > len(one) + REMEMBER:
-                known = dict(one)
+            if len(known) + len(missing) > len(one) + REMEMBER:  # what is met again is taken over
+                old, known = known, dict(one)
                 missing = {w for _, words in cut for w in words}.difference(known)
-            todo = sorted(missing)
+            again = missing.intersection(old)
+            known.update((w, old[w]) for w in again)
+            todo = sorted(missing - again)
             for at in range(0, len(todo), 4096):
                 part = todo[at : at + 4096]
                 known.update(zip(part, (len(e) for e in tok.encode_batch_fast(part, add_special_tokens=False))))
