@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,18 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(first).field(rest) if rest else batch.column(first)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's malloc_trim; nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Gives free memory back to the system: workers are used again by the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the bytes of a string column stay below a bound, a longer row alone."""
     for batch in batches:
@@ -84,6 +98,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         starts = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
         for s, e in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(s, e - s)
+    release()
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_of, slices, text_gb
+from .common import Scratch, as_bytes, batch_of, release, slices, text_gb
 
 #: Bytes of text in a chunk; in a slab, which is worked on at once; hashes in a bucket.
 CHUNK, SLAB, BUCKET = 6 << 20, 1 << 20, 1 << 20
@@ -95,18 +95,27 @@ class Layout:
 
 
 def text_rows(docs: DataFrame, chunks: int) -> DataFrame:
-    """TEXT rows: ids, sizes and compressed texts of the documents that a batch has of each chunk."""
+    """TEXT rows: ids, sizes with counts, and compressed texts of the documents that a batch has of each chunk; equal rows of a batch are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             texts = as_bytes(batch.column("text"))
-            own = chunk_of(ids, [sha256(x).digest() for x in texts], chunks)
+            digests = [sha256(x).digest() for x in texts]
+            held: dict[tuple[int, bytes], int] = {}
+            for key in zip(ids.tolist(), digests):
+                held[key] = held.get(key, 0) + 1
+            if len(held) < len(texts):
+                where = {key: i for i, key in reversed(list(enumerate(zip(ids.tolist(), digests))))}
+                first = [where[key] for key in held]
+                ids, texts, digests = ids[first], [texts[i] for i in first], [digests[i] for i in first]
+            times = np.fromiter(held.values(), np.int64, len(held))
+            own = chunk_of(ids, digests, chunks)
             order = np.argsort(own, kind="stable")
             rows: list[list] = [[] for _ in range(6)]
             for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
                 some = [texts[i] for i in part.tolist()]
-                for c, v in zip(rows, (own[part[0]], TEXT, 0, ids[part].tobytes(), np.array([len(t) for t in some], np.int64).tobytes(), squeeze(b"".join(some)))):
+                for c, v in zip(rows, (own[part[0]], TEXT, 0, ids[part].tobytes(), np.array([[len(t) for t in some], times[part]], np.int64).tobytes(), squeeze(b"".join(some)))):
                     c.append(v)
             yield batch_of(ROW, *rows)
 
@@ -132,26 +141,29 @@ def copy_rows(docs: DataFrame, chunks: int, scratch: Scratch) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's documents, sorted by doc_id and text; ``low``: by doc_id and SHA-256 of copied texts, the smallest doc_id with the text."""
+    """A chunk's documents, distinct and sorted by doc_id and text; ``times``: how many rows each is; ``low``: by doc_id and SHA-256 of copied texts, the smallest doc_id with the text."""
 
     def __init__(self, table: pa.Table):
+        release()  # what the chunk before has left
         rows = table.to_pylist()
         self.number = rows[0]["chunk"]
-        docs: list[tuple[int, bytes]] = []
+        docs: dict[tuple[int, bytes], int] = {}
         self.low: dict[int, dict[bytes, int]] = {}
         self.answers: dict[int, dict[int, list[bytes]]] = {}
         for r in rows:
             if r["kind"] == TEXT:
-                sizes = np.frombuffer(r["y"], np.int64)
-                ends = np.cumsum(sizes)
+                sizes, times = np.frombuffer(r["y"], np.int64).reshape(2, -1)
                 body = expand(r["z"])
-                docs += [(i, body[e - n : e]) for i, n, e in zip(np.frombuffer(r["x"], np.int64).tolist(), sizes.tolist(), ends.tolist())]
+                for i, n, e, t in zip(np.frombuffer(r["x"], np.int64).tolist(), sizes.tolist(), np.cumsum(sizes).tolist(), times.tolist()):
+                    key = i, body[e - n : e]
+                    docs[key] = docs.get(key, 0) + t
             elif r["kind"] == COPIES:
                 for k, (i, low) in enumerate(zip(np.frombuffer(r["x"], np.int64).tolist(), np.frombuffer(r["y"], np.int64).tolist())):
                     self.low.setdefault(i, {})[r["z"][32 * k : 32 * k + 32]] = low
             else:
                 self.answers.setdefault(r["kind"], {}).setdefault(r["bucket"], []).append(r["y"])
         self.docs = sorted(docs)
+        self.times = [docs[k] for k in self.docs]
 
     def lowest(self, doc_id: int, text: bytes) -> int | None:
         """The smallest doc_id with the text, if documents with other doc_ids have it too."""
@@ -163,8 +175,8 @@ class Chunk:
         return self.lowest(doc_id, text) not in (None, doc_id)
 
     def compared(self) -> list[int]:
-        """Numbers of the documents that are compared: copies are left out, repeated rows too."""
-        return [k for k, (i, text) in enumerate(self.docs) if not (k and self.docs[k - 1] == (i, text) or self.is_copy(i, text))]
+        """Numbers of the documents that are compared: copies are left out."""
+        return [k for k, (i, text) in enumerate(self.docs) if not self.is_copy(i, text)]
 
     def slabs(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """Numbers of the compared documents, their bytes and where each begins, with the end."""
@@ -199,6 +211,11 @@ def state(chunk: int, kind: int, hashes: np.ndarray, more: np.ndarray, level: np
     return rows
 
 
+def each_row(done: DataFrame) -> DataFrame:
+    """A row for each row that a document is: ``times`` of them."""
+    return done.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("row", "times")
+
+
 def rows_table(rows: list[list]) -> pa.Table:
     return pa.Table.from_batches([batch_of(ROW, *rows)], ROW)
 

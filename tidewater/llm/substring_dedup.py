@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, batch_of, ranges, read, slices
-from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, expand, mix, prefix, rows_table, span_hash, squeeze, state, text_rows
+from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, each_row, expand, mix, prefix, rows_table, span_hash, squeeze, state, text_rows
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -49,6 +49,7 @@ IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SIEVE, ROUNDS, LOTS, BIN = 6, 4, 10_000, 20_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 OUT_SQL = "doc_id long, n_words long, n_removed long, text string"
+TIMES = OUT.append(pa.field("times", pa.int64()))
 ENTRY = pa.schema([("chunk", pa.int32()), ("no", pa.int32()), ("anchor", pa.int64()), ("before", pa.int32()), ("count", pa.int32()), ("words", pa.binary()), ("n", pa.int64()), ("state", pa.binary())])
 ENTRY_SQL = "chunk int, no int, anchor long, before int, count int, words binary, n long, state binary"
 #: Symbols and contents that a byte of text gives, about, for the number of buckets.
@@ -454,26 +455,23 @@ def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
         begins = np.cumsum([0, *map(len, docs_)])
         gone = cover(np.repeat(where["start"], b - a) + window[ranges(a, b - a)], n, int(begins[-1]))
         place = {k: i for i, k in enumerate(chunk.compared())}
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(5)]
         for k, (i, text) in enumerate(chunk.docs):
-            j = k
-            while j and chunk.docs[j - 1] == (i, text):
-                j -= 1
-            w = docs_[place[j]] if j in place else WORDS.findall(text)
+            w = docs_[place[k]] if k in place else WORDS.findall(text)
             if len(w) >= n and chunk.lowest(i, text) is not None:
                 removed, kept = len(w), []
             else:
-                mask = gone[begins[place[j]] : begins[place[j] + 1]] if j in place else np.zeros(len(w), bool)
+                mask = gone[begins[place[k]] : begins[place[k] + 1]] if k in place else np.zeros(len(w), bool)
                 kept = [x for x, g in zip(w, mask.tolist()) if not g] if mask.any() else w
                 removed = len(w) - len(kept)
-            for c, v in zip(out, (i, len(w), removed, b" ".join(kept))):
+            for c, v in zip(out, (i, len(w), removed, b" ".join(kept), chunk.times[k])):
                 c.append(v)
-        return pa.Table.from_batches([batch_of(OUT, *out[:3], pa.array(out[3], pa.binary()).cast(pa.string()))], OUT)
+        return pa.Table.from_batches([batch_of(TIMES, *out[:3], pa.array(out[3], pa.binary()).cast(pa.string()), out[4])], TIMES)
 
     zero = F.lit(None).cast("binary")
     last_state = held.filter("no < 0").select("chunk", F.lit(FIRST).alias("kind"), F.lit(0).alias("bucket"), zero.alias("x"), F.col("state").alias("y"), zero.alias("z"))
-    done = base.unionByName(last_state).groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(remove, OUT_SQL)
-    return done.unionByName(whole(docs.filter("doc_id IS NULL")))
+    done = base.unionByName(last_state).groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(remove, OUT_SQL + ", times long")
+    return each_row(done).unionByName(whole(docs.filter("doc_id IS NULL")))
 
 
 def hit_windows(held: DataFrame, n: int, scratch: Scratch) -> DataFrame:
@@ -524,11 +522,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH docs AS (
-  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ),
-starts AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM docs WHERE len(w) >= 35),
+once AS (SELECT min(rid) AS rid FROM docs GROUP BY doc_id, text),
+starts AS (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM docs WHERE doc_id IS NOT NULL AND len(w) >= 35),
 windows AS (SELECT rid, s, array_to_string(w[s:s + 34], ' ') AS k FROM starts),
-again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+again AS (SELECT k FROM windows SEMI JOIN once USING (rid) GROUP BY k HAVING count(*) > 1),
 gone AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS p FROM windows JOIN again USING (k)),
 kept AS (
   SELECT rid, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS kept

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, batch_of, ranges, read, slices
-from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, expand, mix, powers, prefix, rows_table, span_hash, squeeze, state, text_rows
+from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, answers, copy_rows, distinct, each_row, expand, mix, powers, prefix, rows_table, span_hash, squeeze, state, text_rows
 
 #: Bytes of the strings whose hashes are anchors.
 K = 16
@@ -37,6 +37,7 @@ HOT, LOTS, BIN = 256, 64, 40_000
 DENSITY, ENTRIES = 0.06, 0.015
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 OUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+TIMES = OUT.append(pa.field("times", pa.int64()))
 
 
 class Slab:
@@ -326,29 +327,25 @@ def dedup_suffixes(docs: DataFrame, n: int = 50) -> DataFrame:
             for k, p, q in zip(s.own, s.at[:-1].tolist(), s.at[1:].tolist()):
                 if gone[p:q].any():
                     kept[k] = ~gone[p:q]
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(6)]
         for k, (i, text) in enumerate(chunk.docs):
             left, removed, spans = text, 0, 0
             if chunk.is_copy(i, text):
                 if len(text) >= n:
                     left, removed, spans = b"", len(text), 1
-            else:
-                j = k
-                while j and chunk.docs[j - 1] == (i, text):
-                    j -= 1
-                if (mask := kept.get(j)) is not None:
-                    left = np.frombuffer(text, np.uint8)[mask].tobytes()
-                    removed = len(text) - len(left)
-                    spans = int((~mask & np.concatenate([[True], mask[:-1]])).sum())
-            for c, v in zip(out, (i, len(text), removed, spans, left)):
+            elif (mask := kept.get(k)) is not None:
+                left = np.frombuffer(text, np.uint8)[mask].tobytes()
+                removed = len(text) - len(left)
+                spans = int((~mask & np.concatenate([[True], mask[:-1]])).sum())
+            for c, v in zip(out, (i, len(text), removed, spans, left, chunk.times[k])):
                 c.append(v)
-        return pa.Table.from_batches([batch_of(OUT, *out)], OUT)
+        return pa.Table.from_batches([batch_of(TIMES, *out)], TIMES)
 
     first = scratch.write(answer(base.groupBy("chunk").applyInArrow(say_anchors, ROW_SQL), 5, HOT), "anchors")
     entries = base.unionByName(first).groupBy("chunk").applyInArrow(say_entries, ROW_SQL)
     second = scratch.write(entries.groupBy("bucket").applyInArrow(lambda table: settle(table, n), ROW_SQL), "windows")
-    done = base.unionByName(first).unionByName(second).groupBy("chunk").applyInArrow(remove, OUT_SQL)
-    return done.unionByName(whole(docs.filter("doc_id IS NULL")))
+    done = base.unionByName(first).unionByName(second).groupBy("chunk").applyInArrow(remove, OUT_SQL + ", times long")
+    return each_row(done).unionByName(whole(docs.filter("doc_id IS NULL")))
 
 
 def whole(docs: DataFrame) -> DataFrame:
