@@ -370,9 +370,9 @@ def _(spark, d):
     return catalog.catalog(tools(spark, d), resources(spark, d))
 
 
-@query("catalog_risk", "SELECT 'tool' AS kind, name, state, risk, source_file AS source FROM tools WHERE risk = 'destructive' AND state = 'enabled'")
+@query("catalog_risk", "SELECT 'tool' AS kind, name, state, risk, source_file AS source FROM tools WHERE risk = 'destructive' AND state = 'disabled'")
 def _(spark, d):
-    return catalog.catalog(tools(spark, d), resources(spark, d), state="enabled", risk="destructive")
+    return catalog.catalog(tools(spark, d), resources(spark, d), state="disabled", risk="destructive")
 
 
 @query("catalog_diff", RESCANNED + "SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN '+' WHEN b.name IS NULL THEN '-' ELSE '~' END AS mark, CASE WHEN a.name IS NULL OR b.name IS NULL THEN '' ELSE 'description' END AS reasons FROM tools a FULL JOIN rescanned b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.description <> b.description")
@@ -413,10 +413,11 @@ def _(spark, d):
     return catalog.invocation(tools(spark, d), F.sha2("description", 256))
 
 
-@query("json_schema_equal", """SELECT name, true AS same FROM tools""")
+@query("json_schema_equal", "SELECT name, p_size % 2 = 0 AS same FROM tools JOIN part ON name = 'tool_' || p_partkey")
 def _(spark, d):
+    """The same keys in another order, with another value in every second row."""
     t = tools(spark, d).join(table(spark, d, "part").select(F.concat(F.lit("tool_"), F.col("p_partkey").cast("string")).alias("name"), "p_type", "p_size"), "name")
-    other = F.concat(F.lit('{"type":"'), "p_type", F.lit('",  "size":'), F.col("p_size").cast("string"), F.lit("}"))
+    other = F.concat(F.lit('{"type":"'), "p_type", F.lit('",  "size":'), (F.col("p_size") + F.col("p_size") % 2).cast("string"), F.lit("}"))
     return t.select("name", X.json_equal(F.col("input_schema"), other).alias("same"))
 
 
@@ -490,9 +491,9 @@ def _(spark, d):
     return vectors(spark, d).select("chunk_id", F.array_join(F.col("embedding").cast("array<string>"), ",").alias("v"))
 
 
-@query("path_parts", "SELECT file_id, regexp_extract(path, '[^/]*$') AS base, parent_dir AS parent, '.txt' AS ext, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024) ELSE size || ' B' END AS size FROM files")
+@query("path_parts", "SELECT file_id, regexp_extract(path, '[^/]*$') || '.' || content_class AS base, parent_dir AS parent, '.' || content_class AS ext, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024) ELSE size || ' B' END AS size FROM files")
 def _(spark, d):
-    p = F.col("path")
+    p = F.concat("path", F.lit("."), "content_class")
     return files(spark, d).select("file_id", X.base_name(p).alias("base"), X.parent_dir(p).alias("parent"), X.extension(p).alias("ext"), X.format_size(F.col("size")).alias("size"))
 
 

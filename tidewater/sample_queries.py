@@ -614,14 +614,6 @@ def _(spark, d):
     return parsed.select(F.col("c.name").alias("card"), "c.version", F.explode("c.tools").alias("t")).select("card", "version", "t.name", "t.description")
 
 
-@query("json_differs", "SELECT name, p_size % 2 = 0 AS same FROM tools JOIN part ON name = 'tool_' || p_partkey")
-def _(spark, d):
-    """The same keys in another order, with another value in every second row."""
-    t = tools(spark, d).join(table(spark, d, "part").select(F.concat(F.lit("tool_"), _n()).alias("name"), "p_type", "p_size"), "name")
-    other = F.concat(F.lit('{"type":"'), "p_type", F.lit('",  "size":'), (F.col("p_size") + F.col("p_size") % 2).cast("string"), F.lit("}"))
-    return t.select("name", X.json_equal(F.col("input_schema"), other).alias("same"))
-
-
 @query("invocation_hash", "SELECT name, CASE WHEN state = 'disabled' THEN 'deny: disabled' WHEN state = 'pending' THEN 'deny: pending' WHEN dep_state IN ('resolving', 'failed') THEN 'error: dependencies ' || dep_state ELSE 'deny: content changed' END AS decision FROM tools")
 def _(spark, d):
     return catalog.invocation(tools(spark, d), F.lit("another hash"))
