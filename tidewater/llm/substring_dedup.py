@@ -46,7 +46,7 @@ from .sharing import BYTES, FIRST, ROW_SQL, SECOND, Chunk, Layout, U, answer, an
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Rounds of the sieve, and of blocks and pairs; different entries of an anchor beyond which it is split; entries of a bin.
-SIEVE, ROUNDS, LOTS, BIN = 6, 4, 10_000, 20_000
+SIEVE, ROUNDS, LOTS, BIN = 6, 4, 2_000, 20_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 OUT_SQL = "doc_id long, n_words long, n_removed long, text string"
 TIMES = OUT.append(pa.field("times", pa.int64()))
