@@ -126,6 +126,22 @@ def test_a_file_with_very_many_chunks(spark, tmp_path):
     assert c.count() == c.select("chunk_id").distinct().count() > 4096
 
 
+def test_names_that_spark_passes_over(spark, tmp_path):
+    for name in ("a.md", "_b.md", "_d/c.md", ".github/d.md", ".env", ".x.md", "__pycache__/e.md", "p/__init__.py"):
+        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / name).write_text(name)
+    root = str(tmp_path / "w")
+    names = lambda rows: sorted(r.path.removeprefix(root + "/") for r in rows.collect())
+    own = [".github/d.md", "_b.md", "_d/c.md", "a.md", "p/__init__.py"]
+    assert names(files.walk(spark, f"file://{root}", 1)) == own
+    assert names(files.raw_files(spark, root, include_dotenv=True)) == sorted([*own, ".env"])
+    got = {r.path.removeprefix(root + "/"): r.text for r in files.contents(spark, [f"file:{root}/{n}" for n in own]).collect()}
+    assert got == {n: n for n in own}
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "_x.md").write_text("x")
+    assert names(files.walk(spark, str(tmp_path / "only"), 1)) == [f"{tmp_path}/only/_x.md"]
+
+
 def test_scans_take_a_root_with_a_scheme(spark, folder):
     assert {r.name for r in files.scan_tools(spark, f"file://{folder}", ["*.py"]).collect()} == {"greet"}
     assert {r.name for r in files.scan_resources(spark, f"file://{folder}/", ["sub/**"]).collect()} == {"data.csv", "bin.md"}

@@ -296,6 +296,10 @@ def nation_folder(spark: SparkSession, d: str, where: str) -> list:
     write_file(spark, f"{where}/code/broken.py", b"def f(:\n")
     write_file(spark, f"{where}/data/x.csv", b"a,b\n1,2\n")
     write_file(spark, f"{where}/data/bin.md", b"a\0b")
+    write_file(spark, f"{where}/_posts/_draft.md", b"draft")
+    write_file(spark, f"{where}/.github/ci.md", b"checks")
+    write_file(spark, f"{where}/code/__init__.py", b"x = 1")
+    write_file(spark, f"{where}/.hidden.md", b"hidden")
     write_file(spark, f"{where}/.git/config.md", b"hidden")
     write_file(spark, f"{where}/node_modules/x/y.md", b"hidden")
     write_file(spark, f"{where}/.env", b"A=1")
@@ -303,7 +307,7 @@ def nation_folder(spark: SparkSession, d: str, where: str) -> list:
 
 
 _SOURCE = "class A:\n    def m(self):\n        return 1\n\ndef f():\n    return 2\n"
-_OTHERS = f"('code/a.py', {len(_SOURCE)}, 'code'), ('code/broken.py', 8, 'code'), ('data/x.csv', 8, 'data'), ('data/bin.md', 3, 'unknown')"
+_OTHERS = f"('code/a.py', {len(_SOURCE)}, 'code'), ('code/broken.py', 8, 'code'), ('data/x.csv', 8, 'data'), ('data/bin.md', 3, 'unknown'), ('_posts/_draft.md', 5, 'document'), ('.github/ci.md', 6, 'document'), ('code/__init__.py', 5, 'code')"
 _NATIONS = """SELECT 'r' || n_regionkey || '/' || n_name || '.md' AS path, CAST(length(n_name || ' lies in region ' || n_regionkey) + 2 + length('The end of ' || n_name) AS BIGINT) AS size, 'document' AS content_class FROM nation"""
 
 
@@ -318,7 +322,7 @@ def _(spark, d):
     return folders.walk(spark, where, 1000).select(below("path", where).alias("path"), "size", "content_class")
 
 
-@query("index_run", "SELECT n_name || '.md' AS name, 'file' AS node_type, 'prose' AS chunk_kind, n_name || ' lies in region ' || n_regionkey || chr(10) || chr(10) || 'The end of ' || n_name AS text, 'done' AS status FROM nation UNION ALL SELECT * FROM (VALUES ('A', 'class', 'code_ast', 'class A:' || chr(10) || '    def m(self):' || chr(10) || '        return 1', 'done'), ('m', 'method', 'code_ast', 'def m(self):' || chr(10) || '        return 1', 'done'), ('f', 'function', 'code_ast', 'def f():' || chr(10) || '    return 2', 'done'), ('broken.py', 'file', 'code_fallback', 'def f(:' || chr(10), 'done')) AS t(name, node_type, chunk_kind, text, status)")
+@query("index_run", "SELECT n_name || '.md' AS name, 'file' AS node_type, 'prose' AS chunk_kind, n_name || ' lies in region ' || n_regionkey || chr(10) || chr(10) || 'The end of ' || n_name AS text, 'done' AS status FROM nation UNION ALL SELECT * FROM (VALUES ('A', 'class', 'code_ast', 'class A:' || chr(10) || '    def m(self):' || chr(10) || '        return 1', 'done'), ('m', 'method', 'code_ast', 'def m(self):' || chr(10) || '        return 1', 'done'), ('f', 'function', 'code_ast', 'def f():' || chr(10) || '    return 2', 'done'), ('broken.py', 'file', 'code_fallback', 'def f(:' || chr(10), 'done'), ('_draft.md', 'file', 'prose', 'draft', 'done'), ('ci.md', 'file', 'prose', 'checks', 'done'), ('__init__.py', 'file', 'code_fallback', 'x = 1', 'done')) AS t(name, node_type, chunk_kind, text, status)")
 def _(spark, d):
     """A whole run: walk, parse, chunks, ledger."""
     where, root = place(spark, "work"), place(spark, "store")
@@ -334,7 +338,7 @@ def _(spark, d):
     """A second run after one file has gone, one has changed and one has come; ids of files that stay are kept."""
     where, root = place(spark, "work"), place(spark, "store")
     rows = nation_folder(spark, d, where)
-    for other in ("code", "data"):
+    for other in ("code", "data", "_posts", ".github"):
         delete_file(spark, f"{where}/{other}")
     store = Store(spark, root)
     indexing.index_folder(spark, store, where, 1000)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions.scalars import content_class, content_hash, extension, is_binary, matches_globs, mime_of, parent_dir
 from ..operators.tools import TOOL, tools_of
@@ -33,6 +35,53 @@ def root_path(root: str) -> str:
     return re.sub(r"^[a-z0-9+]+:/*(?=/)", "", root).rstrip("/") + "/"
 
 
+#: How Hadoop writes a file's status: one call for each.
+_STATUS = re.compile(r"path=(.*?); isDirectory=(true|false); (?:length=(\d+); replication=\d+; blocksize=\d+; )?modification_time=(\d+);")
+
+
+def _statuses(spark: SparkSession, folder: str) -> list[tuple[str, bool, int, int]]:
+    """Path, whether it is a folder, length and time of change (ms) of what a folder holds, or of one file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    rows = []
+    for f in found:
+        m = _STATUS.search(f.toString())
+        rows.append((m[1], m[2] == "true", int(m[3] or 0), int(m[4])) if m else (f.getPath().toString(), f.isDirectory(), f.getLen(), f.getModificationTime()))
+    return rows
+
+
+def unseen(spark: SparkSession, root: str | list[str]) -> list[tuple[str, int, int]]:
+    """Path, length and time of change (ms) of the files that Spark's sources pass over, as their name or a folder's below the root begins with _ or a dot.
+
+    Folders are listed by the driver, as Spark's own listing is; pruned folders and links to folders are not entered.
+    """
+    if not isinstance(root, str):
+        return [(p, n, t) for f in root if f.rsplit("/", 1)[-1][:1] in "_." for p, _, n, t in _statuses(spark, f)]
+    out, todo = [], [(root, False)]
+    while todo:
+        folder, below = todo.pop()
+        for path, is_folder, length, changed in _statuses(spark, folder):
+            name = path.rstrip("/").rsplit("/", 1)[-1]
+            hidden = below or name[:1] in "_."
+            if not is_folder:
+                out += [(path, length, changed)] if hidden else []
+            elif name not in PRUNED and not os.path.islink(re.sub("^file:/*(?=/)", "", path)):
+                todo.append((path, hidden))
+    return out
+
+
+@F.pandas_udf(BinaryType())
+def _content(paths: pd.Series) -> pd.Series:
+    from pyarrow.fs import FileSystem
+
+    def read(path: str) -> bytes:
+        fs, where = FileSystem.from_uri(re.sub("^file:/*(?=/)", "", path))
+        with fs.open_input_file(where) as f:
+            return f.read()
+
+    return paths.map(read)
+
+
 def raw_files(spark: SparkSession, root: str | list[str], ignore: list[str] = (), include_dotenv: bool = False, most: int | None = None) -> DataFrame:
     """path, length, modificationTime, content of every file below a folder, or of listed files.
 
@@ -40,6 +89,9 @@ def raw_files(spark: SparkSession, root: str | list[str], ignore: list[str] = ()
     where content isn't selected, no file is opened.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if hidden := unseen(spark, root):
+        more = spark.createDataFrame(hidden, "path string, length long, ms long")
+        rows = rows.unionByName(more.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", _content("path").alias("content")))
     if most is not None:
         rows = rows.filter(F.col("length") <= most)
     path = local_path(F.col("path"))
