@@ -35,6 +35,21 @@ OUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc
 OUT_SQL = ", ".join(f"`{n}` long" for n in OUT.names)
 
 
+class Known(dict):
+    """From a pre-token to its ids, merged when it is met first; ``old`` holds those of before, longer ones are not remembered."""
+
+    def __init__(self, merge, old: dict[str, bytes]):
+        self.merge, self.old = merge, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode())).tobytes()
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes.
 
@@ -43,23 +58,19 @@ class Encoder:
     """
 
     def __init__(self, where: str):
-        self.tok, self.known, self.old, self.merge = tokenizer(f"{where}.json"), {}, {}, merger(f"{where}.tiktoken")
+        self.tok, self.merge = tokenizer(f"{where}.json"), merger(f"{where}.tiktoken")
+        self.known = Known(self.merge, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [BYTE_BPE.findall(x) if is_safe(x) and "<|" not in x else None for x in texts]
-        words = {w for own in cut if own for w in own}
-        missing = words.difference(self.known)
-        if len(self.known) + len(missing) > REMEMBER:  # what is met again is taken over
-            self.old, self.known, missing = self.known, {}, words
-        known, old, merge = self.known, self.old, self.merge
-        for w in missing:
-            ids = old.get(w)
-            known[w] = array("I", merge(w.encode())).tobytes() if ids is None else ids
-        get = known.__getitem__
-        out = [b"".join(map(get, w)) if w is not None else np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for w, x in zip(cut, texts)]
-        for w in missing:
-            if len(w) > SHORT:
-                del known[w]
+        out = []
+        for x in texts:
+            if is_safe(x) and "<|" not in x:
+                if len(self.known) > REMEMBER:  # what is met again is taken over
+                    self.known.old = {}
+                    self.known = Known(self.merge, self.known)
+                out.append(b"".join(map(self.known.__getitem__, BYTE_BPE.findall(x))))
+            else:
+                out.append(np.array(self.tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
         return out
 
 
@@ -95,25 +106,27 @@ def pack(pieces: list[Piece], tokens: int, segments: int, loss_tokens: int) -> l
         return []
     size = np.array([len(p) for p in pieces], float)
     order = np.argsort(-size, kind="stable")
-    demand = np.stack([size, np.ones(len(pieces)), size * [p.loss for p in pieces]], 1)[order]
-    limit = np.array([tokens, segments, loss_tokens], float)
-    share = demand / limit
+    loss = (size * [p.loss for p in pieces])[order]
+    size = size[order]
     alive = np.ones(len(pieces), bool)
     bins: list[list[Piece]] = []
     left = len(pieces)
     while left:
-        room, own = limit.copy(), []
+        if 4 * left < 3 * len(alive):  # those that are packed need no more looks
+            order, size, loss = order[alive], size[alive], loss[alive]
+            alive = np.ones(left, bool)
+        room, seats, bearing, own = float(tokens), segments, float(loss_tokens), []
         while True:
-            fits = alive & (demand <= room).all(axis=1)
-            if not fits.any():
+            fits = np.flatnonzero(alive & (size <= room) & (loss <= bearing)) if seats else ()
+            if not len(fits):
                 break
-            score = np.where(fits, share @ (room / limit), -1.0)
-            j = int(np.argmax(score))
+            # the dot product of demands and what is left, as shares of the limits; the segments' share is the same for all
+            j = fits[np.argmax(size[fits] * (room / tokens**2) + loss[fits] * (bearing / loss_tokens**2))]
             alive[j] = False
             left -= 1
-            room -= demand[j]
+            room, seats, bearing = room - size[j], seats - 1, bearing - loss[j]
             own.append(pieces[order[j]])
-            if room[0] < 1 or not left:
+            if room < 1 or not left:
                 break
         bins.append(own)
     return fill_gaps(bins, tokens, segments, loss_tokens)
