@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Has Spark delete the shuffles of what has been written; it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Frees a table that nothing reads any more."""
         if path := getattr(df, "_scratch_path", None):

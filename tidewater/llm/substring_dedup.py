@@ -431,6 +431,7 @@ def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
     first = scratch.write(answer(base.groupBy("chunk").applyInArrow(say_symbols, ROW_SQL), 5), "sieve")
     step = scratch.write(base.unionByName(first).groupBy("chunk").applyInArrow(sieved, ROW_SQL), "words")
     scratch.drop(first)
+    scratch.clear()
     for r in range(ROUNDS + 1):
         names = step.filter(F.col("kind") == SECOND).groupBy("bucket").applyInArrow(give_names(r), ROW_SQL)
         both = names.unionByName(step.filter(F.col("kind") == STATE)).groupBy("chunk")
@@ -440,6 +441,7 @@ def dedup_substrings(docs: DataFrame, n: int = 35) -> DataFrame:
             held = scratch.write(both.applyInArrow(last, ENTRY_SQL), "entries")
         scratch.drop(step)
         step = new
+        scratch.clear()
     hits = hit_windows(held.filter("no >= 0").drop("state"), n, scratch)
 
     def remove(left, right):

@@ -342,8 +342,10 @@ def dedup_suffixes(docs: DataFrame, n: int = 50) -> DataFrame:
         return pa.Table.from_batches([batch_of(TIMES, *out)], TIMES)
 
     first = scratch.write(answer(base.groupBy("chunk").applyInArrow(say_anchors, ROW_SQL), 5, HOT), "anchors")
+    scratch.clear()
     entries = base.unionByName(first).groupBy("chunk").applyInArrow(say_entries, ROW_SQL)
     second = scratch.write(entries.groupBy("bucket").applyInArrow(lambda table: settle(table, n), ROW_SQL), "windows")
+    scratch.clear()
     done = base.unionByName(first).unionByName(second).groupBy("chunk").applyInArrow(remove, OUT_SQL + ", times long")
     return each_row(done).unionByName(whole(docs.filter("doc_id IS NULL")))
 
