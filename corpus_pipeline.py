@@ -42,7 +42,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays; rows without doc_id are in no group.
 
-    Texts link from a Jaccard similarity of 0.8 of their five-word shingles on (near_copies.groups). The row with the
+    Texts link from a Jaccard similarity of 0.8 of their five-word shingles on; SimHash and multi-index hashing, as in op3
+    with more bits, choose the pairs that are compared (near_copies.groups). The row with the
     smallest doc_id stays, among rows of one doc_id the one with the smallest SHA-256 of its columns. So all texts of a
     repeated doc_id stay that are near to no other.
     """

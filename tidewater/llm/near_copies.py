@@ -1,41 +1,47 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands choose candidates, whole shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and multi-index hashing choose candidates, whole shingle
+sets decide.
 
-A node is a distinct text. Its signature is the minima of BANDS x ROWS hash functions over its shingles; a band's minima
-are a key. Two texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS: of pairs at exactly 0.8 about
-3 in a million share none, and fewer above. Within a key, pairs whose signatures (a byte of each minimum) agree in fewer than
-AGREE places are not candidates: 5.5 standard deviations below 0.8.
+A node is a distinct text. Its fingerprint is SimHash over its distinct shingles, the one of op3 with more bits
+(simhash.wide): two texts of similarity 0.8 differ in some 15 % of the bits, where 4 of 64 bits are 6 %. It is cut into
+segments, and a node stands in one table for each segment. Nodes that stand under the same value are compared over KEPT x 64
+bits; those within a radius (``radius``) make groups, and those of a group within the radius of all bits make smaller ones.
+
+Segments get longer with the number of texts, so that about a hundred stand under a value, and more in number (``tables``), so
+that a pair at exactly 0.8 shares none, or lies beyond a radius, with a computed probability of 3 in a million, less above.
+That holds for FLIP, the largest share of differing bits of two sets of any sizes but one: where a set of 4 shingles lies in
+one of 5, ties make it more. So a text of 5 shingles also stands under its subsets of 4.
 
 Candidates only make groups. Within a group, every pair of texts is compared by all its shingles, in integers; so no pair
-below the similarity links, and none is left out because another one has linked its texts. Keys and groups that very
+below the similarity links, and none is left out because another one has linked its texts. Values and groups that very
 many texts share are cut into blocks (graph.deal). Components of the links are the near copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_bytes, batch_of, ranges, release, slices
 from .graph import components, deal, spanning
-from .sharing import mix
-from .simhash import shingle_hashes
+from .simhash import segments, shingle_hashes, wide
 
 #: Words of a shingle; least similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
-BANDS, ROWS, AGREE = 32, 5, 100
-#: Texts of a key that a task compares, rows of a bin; texts of a group, bytes of shingles of a bin.
-BLOCK, BIN = 8192, 25_000
+#: Share of the bits in which two sets of that similarity differ, at most; probability that such a pair shares no segment.
+FLIP, MISS = 0.1612, 2e-6
+#: Words of a fingerprint that tables hold; segments whose tables are made at a time.
+KEPT, TABLES = 4, 32
+#: Texts of a value that a task compares, rows of a bin; texts of a group, bytes of shingles of a bin.
+BLOCK, BIN = 8192, 100_000
 GROUP_BLOCK, GROUP_BIN = 512, 8 << 20
-#: Shingles hashed, pairs compared and columns multiplied at a time.
-AT_ONCE, PAIRS, WIDTH = 1024, 1 << 14, 2048
-
-_rng = np.random.default_rng(20240301)
-FACTORS = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDED = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2)
+#: Pairs compared and columns multiplied at a time.
+PAIRS, WIDTH = 1 << 17, 2048
 
 
 def node_of(text: str) -> Column:
@@ -48,27 +54,52 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WORDS), np.uint64))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), AT_ONCE):
-        np.minimum(out, (shingles[at : at + AT_ONCE] * FACTORS + ADDED).min(axis=1), out=out)
-    return out
+def tables(texts: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments for so many texts."""
+    bits = max(8, texts.bit_length() - 7)
+    return bits, ceil(log(MISS) / log1p(-((1 - FLIP) ** bits)))
+
+
+def radius(words: int) -> int:
+    """Differing bits of candidates: 5.25 standard deviations above the mean of a pair of that similarity (of 4 words: 4 in ten million are beyond)."""
+    bits = 64 * words
+    return int(FLIP * bits + 5.25 * sqrt(bits * FLIP * (1 - FLIP)))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """node, sketch (a byte of each minimum) and keys (of the bands) of every row with node and text."""
-    schema = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """node and fp (``words`` x 8 bytes) of every row with node and text that has shingles, and of each four where it has five."""
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            low = np.array([minima(shingle_set(x)) for x in as_bytes(batch.column("text"))])
-            keys = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64)), (len(low), BANDS))
-            for part in low.reshape(-1, BANDS, ROWS).transpose(2, 0, 1):
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + part)
-            sketch = (mix(low) >> np.uint64(56)).astype(np.uint8)
-            yield batch_of(schema, batch.column("node"), [x.tobytes() for x in sketch], keys.view(np.int64).tolist())
+            nodes, sets = [], []
+            for node, text in zip(batch.column("node").to_pylist(), as_bytes(batch.column("text"))):
+                own = shingle_set(text)
+                own = [own] * bool(len(own)) + [np.delete(own, k) for k in range(5) if len(own) == 5]
+                nodes += [node] * len(own)
+                sets += own
+            yield batch_of(schema, nodes, [x.tobytes() for x in wide(sets, words)])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, fp binary")
+
+
+def words_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints of equal length as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
 
-    return docs.select("node", "text").mapInArrow(run, "node long, sketch binary, keys array<long>")
+def lookups(nodes: DataFrame, bits: int, first: int, end: int) -> DataFrame:
+    """key (segment and value), id and fp (KEPT words) of every node in the tables from ``first`` to ``end``."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values, kept = segments(words_of(batch.column("fp")), bits, end), pc.binary_slice(batch.column("fp"), 0, 8 * KEPT)
+                for t in range(first, end):
+                    yield batch_of(schema, values[:, t] | t << 40, batch.column("node"), kept)
+
+    return nodes.select("node", "fp").mapInArrow(run, "key long, id long, fp binary")
 
 
 def stars(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
@@ -78,36 +109,43 @@ def stars(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
     return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each of x and each of y."""
+    out = np.zeros((len(x), len(y)), np.uint16)
+    for p, q in zip(x.T, y.T):
+        out += np.bitwise_count(p[:, None] ^ q[None, :])
+    return out
+
+
 def candidates(table: pa.Table) -> pa.Table:
-    """A forest that connects all pairs of a cell whose sketches agree in AGREE places."""
+    """A forest that connects all pairs of a cell whose fingerprints are within the radius."""
+    release()
     cell, node = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cell", "id"))
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-    order = np.lexsort((node, cell))
-    cell, node, sketch = cell[order], node[order], sketch[order]
-    _, first, at, count = np.unique(cell, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(cell, kind="stable")
+    cell, node, fps = cell[order], node[order], words_of(table.column("fp"))[order]
+    most = radius(fps.shape[1])
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
-
-    def like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), bool)
-        for s in range(0, len(x), PAIRS):
-            p, q = x[s : s + PAIRS], y[s : s + PAIRS]
-            out[s : s + PAIRS] = (sketch[p] == sketch[q]).sum(axis=1) >= AGREE
-        a.append(node[x[out]])
-        b.append(node[y[out]])
-        return out
-
-    # those like the first one are connected; each of the others is compared with all
-    rest = np.flatnonzero(~like(np.arange(len(cell)), first[at]))
-    n = count[at[rest]]
-    total = np.cumsum(n)
-    done = 0
-    while done < len(rest):
-        to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 16 * PAIRS)))
-        like(np.repeat(rest[done:to], n[done:to]), ranges(first[at[rest[done:to]]], n[done:to]))
-        p, q = (np.concatenate(x) for x in (a, b))
-        p, q = spanning(p[p != q], q[p != q]) if (p != q).any() else (p[:0], q[:0])
-        a, b, done = [p], [q], to
+    edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]).tolist()
+    for s, e in zip(edges, edges[1:]):
+        if e - s < 2:
+            continue
+        own, fp = node[s:e], fps[s:e]
+        # those like the first one are connected; each of the others is compared with all
+        like = distances(fp[:1], fp)[0] <= most
+        if (own[like] != own[0]).any():
+            a.append(own[like])
+            b.append(np.full(len(a[-1]), own[0]))
+        rest = np.flatnonzero(~like)
+        step = max(1, PAIRS // (e - s))
+        for part in (rest[k : k + step] for k in range(0, len(rest), step)):
+            x, y = np.nonzero(distances(fp[part], fp) <= most)
+            x, y = own[part[x]], own[y]
+            x, y = x[x != y], y[x != y]
+            if len(x):
+                x, y = spanning(x, y)
+                a.append(x)
+                b.append(y)
     return stars(a, b)
 
 
@@ -168,14 +206,24 @@ def cells(rows: DataFrame, sizes: DataFrame, block: int, bins: int, scratch: Scr
 def groups(docs: DataFrame) -> DataFrame:
     """node and component of the texts that have near copies; docs has node (node_of) and text."""
     scratch = Scratch(docs.sparkSession, "near-copies")
-    nodes = scratch.write(signatures(docs).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "nodes")
-    keys = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
-    shared = scratch.write(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    held = scratch.write(keys.join(shared.select("key"), "key"), "held")
-    rows = held.join(nodes.select(F.col("node").alias("id"), "sketch"), "id")
-    bins = max(1, -(-held.count() // BIN))
-    near = cells(rows, shared, BLOCK, bins, scratch).select("bin", "cell", "id", "sketch").groupBy("bin").applyInArrow(candidates, "a long, b long")
-    maybe = scratch.write(components(near, scratch), "candidates")
+    bits, n = tables(docs.count())
+    words = max(KEPT, -(-n * bits // 64))
+    nodes = scratch.write(fingerprints(docs, words).distinct(), "fingerprints")
+    count, near = nodes.count(), None
+
+    def within(rows: DataFrame, size: int) -> DataFrame:
+        held = cells(rows, rows.groupBy("key").agg(F.count("*").alias("n")), BLOCK, max(1, -(-size // BIN)), scratch)
+        return scratch.write(held.select("bin", "cell", "id", "fp").groupBy("bin").applyInArrow(candidates, "a long, b long"), "near")
+
+    for first in range(0, n, TABLES):
+        end = min(n, first + TABLES)
+        found = within(lookups(nodes, bits, first, end), count * (end - first))
+        near = near.unionByName(found) if near else found
+        scratch.clear()  # of each round's shuffle
+    maybe = scratch.write(components(near, scratch), "groups")
+    rows = scratch.write(nodes.join(maybe, "node").select(F.col("component").alias("key"), F.col("node").alias("id"), "fp"), "grouped")
+    maybe = scratch.write(components(within(rows, rows.count() * words // KEPT), scratch), "candidates")
+    scratch.clear()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):

@@ -7,6 +7,9 @@ two, within 2 bits in the first or 1 in the second. So each node looks up the Ha
 bits. Segment values that very many nodes share are cut into blocks (graph.deal); a task gives a spanning forest of the
 links that it finds, not the pairs.
 
+Where similarities far below those of 4 bits count, ``wide`` gives fingerprints of many more bits, whose first 64 are those
+above, and ``segments`` the values under which they stand (near_copies).
+
 Null and empty texts have fingerprint zero and link like any other. A row with null doc_id gets a fingerprint and a
 null component; rows that repeat a doc_id are one document, whose texts all link.
 """
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from xxhash import xxh64_intdigest
 
 from .common import Scratch, as_bytes, batch_of, ranges, read, slices
 from .graph import components, deal, spanning
+from .sharing import mix
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -40,6 +44,8 @@ SPARSE = 1 << 24
 BLOCK, BIN = 4096, 250_000
 #: Hashes whose bits are counted at a time.
 AT_ONCE = 1 << 17
+#: Hashes of a text, and words of several texts, that ``wide`` adds at a time.
+PIECE, WORDS_AT_ONCE = 1 << 12, 1 << 17
 
 
 def shingle_hashes(text: bytes, n: int) -> list[int]:
@@ -66,6 +72,56 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def add(p: list[np.ndarray], q: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of numbers that lie in bit planes, the least bit first: a number for each bit of the planes' words."""
+    out, carry = [], None
+    for a, b in zip_longest(p, q, fillvalue=np.uint64(0)):
+        x, both = a ^ b, a & b
+        out.append(x if carry is None else x ^ carry)
+        carry = both if carry is None else both | (x & carry)
+    return [*out, carry]
+
+
+def wide(hashes: list[np.ndarray], words: int) -> np.ndarray:
+    """Fingerprints of several texts of ``words`` x 64 bits: the majority of the hashes, then those of words - 1 mixes of them."""
+    out = np.zeros((len(hashes), words), np.uint64)
+    size = np.array([len(x) for x in hashes], np.int64)
+    level = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+    salts = mix(np.arange(words, dtype=np.uint64))
+    for l in np.unique(level[size > 0]).tolist():
+        alike = np.flatnonzero((level == l) & (size > 0))
+        step, rows = max(1, (WORDS_AT_ONCE >> l) // words), min(1 << l, PIECE)
+        for own in (alike[s : s + step] for s in range(0, len(alike), step)):
+            total: list[np.ndarray] = []
+            for at in range(0, 1 << l, rows):
+                h = np.zeros((rows, len(own)), np.uint64)
+                for j, i in enumerate(own.tolist()):
+                    part = hashes[i][at : at + rows]
+                    h[: len(part), j] = part
+                x = mix(h[:, :, None] ^ salts)
+                x[:, :, 0] = h
+                x[np.arange(rows)[:, None] >= size[own] - at] = 0
+                planes = [x]
+                for half in (rows >> k for k in range(1, l + 1) if rows >> k):
+                    planes = add([p[:half] for p in planes], [p[half:] for p in planes])
+                planes = [p[0] for p in planes]
+                total = add(total, planes)[: l + 1] if total else planes
+            more, same = np.zeros_like(total[0]), ~np.zeros_like(total[0])
+            for k in range(len(total) - 1, -1, -1):  # above half of the hashes
+                bit = -((size[own] // 2 >> k & 1).astype(np.uint64))[:, None]
+                more |= same & total[k] & ~bit
+                same &= ~(total[k] ^ bit)
+            out[own] = more
+    return out
+
+
+def segments(fps: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Values of the segments of ``bits`` bits each, at most ``most``, of wide fingerprints."""
+    flat = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    n = min(most, flat.shape[1] // bits)
+    return flat[:, : n * bits].reshape(len(fps), n, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
