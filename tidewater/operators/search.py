@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.porter import fold, stem, stem_terms, tokens
+from ..functions.porter import fold, folded_stem, stem, stem_start, tokens
 from ..functions.scalars import clamp_k, l2_distance, length_score, nearness
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -36,33 +40,82 @@ class Inverted:
     corpus: DataFrame
 
 
-def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(term, chunk_id, node_id, tf, dl) of every chunk."""
+POSTING = "term string, chunk_id long, node_id long, tf long, dl long"
+
+
+def count_words(chunks: DataFrame, stemmed: bool = True, only: Collection[str] = ()) -> DataFrame:
+    """(term, chunk_id, node_id, tf, dl) of every chunk, or of the terms ``only``: one pass over the texts, nothing is shuffled.
+
+    Each row of ``chunks`` is counted by itself, in Arrow batches: a batch's distinct words are stemmed, then pairs of row
+    and stem are counted as numbers.
+    """
     text = F.concat_ws(" ", "text", "header") if "header" in chunks.columns else F.col("text")
-    words = chunks.select("chunk_id", "node_id", tokens(text).alias("words"))
-    rows = words.select("chunk_id", "node_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-    counted = rows.groupBy("term", "chunk_id", "node_id", "dl").agg(F.count("*").alias("tf"))
-    if stemmed:
-        counted = stem_terms(counted).groupBy("term", "chunk_id", "node_id", "dl").agg(F.sum("tf").alias("tf"))
-    return counted.select("term", "chunk_id", "node_id", "tf", "dl")
+    wanted, near = frozenset(only), tuple({stem_start(t) for t in only}) if stemmed else ()
+
+    def term_of(word: str) -> str:
+        """A word's stem; an empty one where the word can't have a wanted stem."""
+        return folded_stem(word) if not near or word.startswith(near) or not word.isascii() else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _pieces(batch):
+                lists = rows.column("words")
+                sizes = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
+                coded = pc.dictionary_encode(lists.flatten())
+                terms: dict[str, int] = {}
+                words = map(term_of, coded.dictionary.to_pylist()) if stemmed else coded.dictionary.to_pylist()
+                number = np.array([terms.setdefault(t, len(terms)) if not wanted or t in wanted else -1 for t in words], np.int64)
+                term = number[np.asarray(coded.indices, np.int64)] if len(number) else np.zeros(0, np.int64)
+                row = np.repeat(np.arange(rows.num_rows), sizes)[term >= 0]
+                pairs, tf = np.unique(row * max(1, len(terms)) + term[term >= 0], return_counts=True)
+                row, term = np.divmod(pairs, max(1, len(terms)))
+                take = lambda name, row=row, rows=rows: rows.column(name).cast(pa.int64()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()).take(pa.array(term)), take("chunk_id"), take("node_id"), pa.array(tf, pa.int64()), pa.array(sizes[row], pa.int64())], names=["term", "chunk_id", "node_id", "tf", "dl"])
+
+    return chunks.select("chunk_id", "node_id", tokens(text).alias("words")).mapInArrow(run, POSTING)
+
+
+#: Words of which a worker counts a piece of a batch, a longer row alone.
+PIECE = 1 << 20
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(np.asarray(pc.list_value_length(batch.column("words")).fill_null(0), np.int64)) // PIECE
+    starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else []
+    for s, e in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(s, e - s)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One posting for a term and chunk, where rows repeat a chunk."""
+    return rows.groupBy("term", "chunk_id", "node_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "chunk_id", "node_id", "tf", "dl")
+
+
+def postings(chunks: DataFrame, stemmed: bool = True, only: Collection[str] = ()) -> DataFrame:
+    """(term, chunk_id, node_id, tf, dl) of every chunk, or of the terms ``only``."""
+    return merged(count_words(chunks, stemmed, only))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("term").agg(F.count("*").alias("df"))
+    return rows.groupBy("term").agg(F.count("tf").alias("df"))  # tf, so that an unwritten index is counted from the exchange that a search reads
 
 
-def corpus_of(chunks: DataFrame) -> DataFrame:
+def corpus_of(chunks: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """One row: chunks, and their words, which written postings have counted."""
+    if written is not None:
+        return chunks.agg(F.count("*").alias("n")).join(written.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")), F.lit(True))
     text = F.concat_ws(" ", "text", "header") if "header" in chunks.columns else F.col("text")
     return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(text)).cast("long")), F.lit(0)).alias("total"))
 
 
 def by_term(rows: DataFrame) -> DataFrame:
-    """Postings as they are written: in ranges of terms, so that statistics of the files lead a search to its terms."""
-    return rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    """Counted words as they are written: in ranges of terms, so that statistics of the files lead a search to its terms. The only shuffle of an index."""
+    return merged(rows.repartitionByRange("term", "chunk_id")).sortWithinPartitions("term", "chunk_id")
 
 
-def invert(chunks: DataFrame, stemmed: bool = True) -> Inverted:
-    rows = postings(chunks, stemmed)
+def invert(chunks: DataFrame, stemmed: bool = True, only: Collection[str] = ()) -> Inverted:
+    """An index that isn't written, of all terms or of the terms ``only``."""
+    rows = postings(chunks, stemmed, only)
     return Inverted(rows, term_counts(rows), corpus_of(chunks))
 
 
@@ -126,7 +179,7 @@ def fts_search(chunks: DataFrame, query: str, k: int = 20, index: Inverted | Non
     if index is None and not stemmed and terms:
         scored = scan_bm25(chunks, terms)
     else:
-        scored = bm25(invert(chunks, stemmed) if index is None else index, terms, stemmed)
+        scored = bm25(invert(chunks, stemmed, wanted_terms(terms, stemmed)) if index is None else index, terms, stemmed)
     return scored.orderBy(F.desc("score"), "node_id", "chunk_id").limit(clamp_k(k))
 
 
