@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import threading
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SNAPSHOT = "snapshot long, path string, mtime long, size long"
 EVENT = "path string, change string, snapshot long"
-STATE = "snapshot long, mtime long, size long, live boolean"
+#: Rows of path, snapshot, mtime, size and whether it is live, as JSON.
+STATE = "known string"
+#: Groups of paths; a stream that is taken up again has to have as many.
+GROUPS = 2048
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -24,26 +29,34 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _changes(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = state.get if state.exists else None
+    known = {path: last for path, *last in json.loads(state.get[0])} if state.exists else {}
+    whole = lambda values: [None if v != v or v is None else int(v) for v in values.tolist()]
+    seen = [r for f in rows for r in zip(whole(f["snapshot"]), f["path"].tolist(), whole(f["mtime"]), whole(f["size"]), f["deleted"].tolist())]
     out = []
-    for r in pd.concat(list(rows)).sort_values("snapshot").itertuples():
-        was_live = bool(known and known[3])
-        if r.deleted:
+    for snapshot, path, mtime, size, deleted in sorted(seen, key=itemgetter(0)):
+        last = known.get(path)
+        was_live = bool(last and last[3])
+        if deleted:
             change = "deleted" if was_live else None
         elif not was_live:
-            change = None if r.snapshot == 0 else "created"  # the first snapshot is silent
+            change = None if snapshot == 0 else "created"  # the first snapshot is silent
         else:
-            change = "modified" if (r.mtime, r.size) != (known[1], known[2]) else None
-        known = (int(r.snapshot), int(r.mtime), int(r.size), not r.deleted)
+            change = "modified" if [mtime, size] != last[1:3] else None
+        known[path] = [snapshot, mtime, size, not deleted]
         if change:
-            out.append((key[0], change, int(r.snapshot)))
-    state.update(known)
+            out.append((path, change, snapshot))
+    state.update((json.dumps([[path, *last] for path, last in known.items()]),))
     yield pd.DataFrame(out, columns=["path", "change", "snapshot"])
 
 
 def changes(stream: DataFrame) -> DataFrame:
-    """path, change, snapshot: created, modified, deleted, with one small state per path. Nothing is dropped when many come."""
-    return stream.groupBy("path").applyInPandasWithState(_changes, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
+    """path, change, snapshot: created, modified, deleted. Nothing is dropped when many come.
+
+    What is known of a path is held with that of others in one of GROUPS states: Python is called for a group, not for a path,
+    and a snapshot names every path in any case. A state has some 60 bytes a path.
+    """
+    group = F.pmod(F.xxhash64("path"), F.lit(GROUPS))
+    return stream.withColumn("group", group).groupBy("group").applyInPandasWithState(_changes, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 class EventBuffer:
