@@ -20,7 +20,7 @@ from .operators import tools as tool_sources
 from .plans import index as indexing
 from .queries import _BM25, _BROWSE, _HYDRATE, LATER, QUERY, TOKENS, asked_vector, files, index_of, knn, later, ledger, line_chunks, node_view, query, resources, table, texts, tools, vectors
 from .schema import CHUNKS, FILES, NODES
-from .session import shared_folder
+from .session import shared_folder, spread
 from .sources import audit, config
 from .sources import files as folders
 from .sources.store import Store
@@ -411,6 +411,10 @@ def _n() -> Column:
     return F.col("p_partkey").cast("string")
 
 
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts for Python functions, which take far longer than the scan: even millions of parts are a few MB, which is one task."""
+    return spread(table(spark, d, "part"))
+
 
 @query("code_symbols", "SELECT p_partkey, unnest([{'kind': 'class', 'name': 'C' || p_partkey, 'a': 1, 'b': 3}, {'kind': 'method', 'name': 'm' || p_partkey, 'a': 2, 'b': 3}, {'kind': 'function', 'name': 'f' || p_partkey, 'a': 6, 'b': 7}], recursive := true) FROM part")
 def _(spark, d):
@@ -419,7 +423,7 @@ def _(spark, d):
         return s.map(symbols.python_symbols)
 
     source = F.concat(F.lit("class C"), _n(), F.lit(":\n    def m"), _n(), F.lit("(self):\n        pass\n\n@deco\nasync def f"), _n(), F.lit("(x):\n    return 'é'\n"))
-    return table(spark, d, "part").select("p_partkey", F.explode(run(source)).alias("s")).select("p_partkey", "s.kind", "s.name", F.col("s.line_start").alias("a"), F.col("s.line_end").alias("b"))
+    return parts(spark, d).select("p_partkey", F.explode(run(source)).alias("s")).select("p_partkey", "s.kind", "s.name", F.col("s.line_start").alias("a"), F.col("s.line_end").alias("b"))
 
 
 @query("go_symbols", "SELECT p_partkey, unnest([{'kind': 'struct', 'name': 'S' || p_partkey, 'a': 3, 'b': 5}, {'kind': 'interface', 'name': 'I' || p_partkey, 'a': 7, 'b': 7}, {'kind': 'type', 'name': 'T', 'a': 8, 'b': 8}, {'kind': 'method', 'name': 'M' || p_partkey, 'a': 10, 'b': 12}, {'kind': 'function', 'name': 'F', 'a': 13, 'b': 13}], recursive := true) FROM part")
@@ -431,7 +435,7 @@ def _(spark, d):
     source = F.concat(
         F.lit("package p\n// func no() {}\ntype S"), _n(), F.lit(" struct {\n\tx int\n}\ntype (\n\tI"), _n(), F.lit(" interface{ M() }\n\tT = int\n)\nfunc (a *S) M"), _n(), F.lit('() string {\n\treturn "func x() {"\n}\nfunc F[T any](x T) {}\n')
     )
-    return table(spark, d, "part").select("p_partkey", F.explode(run(source)).alias("s")).select("p_partkey", "s.kind", "s.name", F.col("s.line_start").alias("a"), F.col("s.line_end").alias("b"))
+    return parts(spark, d).select("p_partkey", F.explode(run(source)).alias("s")).select("p_partkey", "s.kind", "s.name", F.col("s.line_start").alias("a"), F.col("s.line_end").alias("b"))
 
 
 @query("code_chunks", "SELECT p_partkey, 'code_ast' AS chunk_kind, 'def f' || p_partkey || '():' || chr(10) || '    return 1' AS text, CAST(3 AS BIGINT) AS byte_start FROM part UNION ALL SELECT p_partkey, 'code_fallback', 'x' || p_partkey || ' = 1', 0 FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p_partkey, 'code_fallback', 'long', CAST(n AS BIGINT) FROM part, (SELECT unnest([1, 2]) AS n) WHERE p_partkey % 100 = 0")
@@ -442,7 +446,7 @@ def _(spark, d):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [{k: c[k] for k in ("text", "byte_start", "chunk_kind")} for c in chunks.chunk_code(t, symbols.python_symbols(t))])
 
-    part = table(spark, d, "part")
+    part = parts(spark, d)
     one = part.select("p_partkey", F.explode(run(F.concat(F.lit("#\n\ndef f"), _n(), F.lit("():\n    return 1\n")))).alias("c"))
     none = part.filter("p_partkey % 2 = 1").select("p_partkey", F.explode(run(F.concat(F.lit("x"), _n(), F.lit(" = 1")))).alias("c"))
     long_ = part.filter("p_partkey % 100 = 0").select("p_partkey", F.posexplode(run(F.concat(F.lit("def g():\n"), F.repeat(F.lit("    x = 1 + 2\n"), F.lit(75))))).alias("n", "c"))
@@ -461,7 +465,7 @@ def _(spark, d):
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"by_words": s.map(chunks.word_count), "by_library": s.map(lambda t: count(t.rsplit(" ", 1)[0]))})
 
-    return table(spark, d, "part").select("p_partkey", run(F.concat(F.lit("the of "), _n())).alias("r")).select("p_partkey", "r.*")
+    return parts(spark, d).select("p_partkey", run(F.concat(F.lit("the of "), _n())).alias("r")).select("p_partkey", "r.*")
 
 
 _VOCABULARY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "red", "ring", "small", "wid", "##get", "!", "brand"]
@@ -472,7 +476,7 @@ def _(spark, d):
     """Brand is lowered and loses its accent, the number is unknown, the mark is a word of its own; then the part's name."""
     words = WordPiece({t: i for i, t in enumerate(_VOCABULARY)}, 32)
     text = F.concat(F.lit("BRÁND 77! "), "p_name")
-    e = table(spark, d, "part").select("p_partkey", words.column(text).alias("e"))
+    e = parts(spark, d).select("p_partkey", words.column(text).alias("e"))
     n = F.aggregate("e.mask", F.lit(0).cast("long"), lambda s, x: s + x)
     return e.select("p_partkey", F.array_join(F.slice("e.ids", F.lit(1), n.cast("int")), ",").alias("ids"), n.alias("n"))
 
@@ -482,7 +486,7 @@ def extracted(spark: SparkSession, d: str, path: str, source: Column) -> DataFra
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: tool_sources.tools_of(path, t))
 
-    return table(spark, d, "part").select("p_partkey", F.explode(run(source)).alias("t")).select("p_partkey", "t.*")
+    return parts(spark, d).select("p_partkey", F.explode(run(source)).alias("t")).select("p_partkey", "t.*")
 
 
 @query("python_tools", """SELECT p_partkey, unnest([
@@ -538,7 +542,7 @@ def _(spark, d):
 def _(spark, d):
     n, size = F.lit("post"), F.col("p_size")
     path, nothing = F.lit("/a/{id}/b"), F.lit("")
-    return table(spark, d, "part").select(
+    return parts(spark, d).select(
         "p_partkey", X.operation_name(F.when(size % 2 == 0, F.concat(F.lit("op"), _n())).otherwise(nothing), n, path).alias("name"),
         X.operation_description(F.when(size % 3 == 0, "short").otherwise(nothing), F.when(size % 3 != 2, "long").otherwise(nothing), n, path).alias("description"),
     )
@@ -554,7 +558,7 @@ def _(spark, d):
 
     py = F.concat(F.lit("import os, numpy.linalg\nfrom pandas.io import x\nfrom . import y\nimport p"), _n(), F.lit("\n"))
     ts = F.concat(F.lit("import a from '@s/p/q'\nimport './local'\nconst b = require('fs'), c = require('node:path')\nimport { d } from \"lodash/fp\"\nrequire('q"), _n(), F.lit("')\n"))
-    return table(spark, d, "part").select("p_partkey", run(py, ts).alias("r")).select("p_partkey", "r.python", "r.script")
+    return parts(spark, d).select("p_partkey", run(py, ts).alias("r")).select("p_partkey", "r.python", "r.script")
 
 
 # ---- catalogue rules -----------------------------------------------------------------------------------------------
