@@ -140,9 +140,9 @@ def index_folder(spark: SparkSession, store: Store, root: str, now: int, embedde
     rows = rows.select("file_id", "pass_name", "status", stamp, "error_message")
     vectors = left["embeddings"].unionByName(embed(chunks, embedder)) if embedder else left["embeddings"]
     all_chunks = store.stage("chunks", left["chunks"].unionByName(chunks))
-    inverted = store.stage("postings", search.by_term(store.table("postings").join(all_chunks.select("chunk_id"), "chunk_id", "left_semi").select(*POSTINGS.names).unionByName(search.postings(chunks))))
+    inverted = store.stage("postings", search.by_term(store.table("postings").join(all_chunks.select("chunk_id"), "chunk_id", "left_semi").select(*POSTINGS.names).unionByName(search.count_words(chunks))))
     store.commit(
-        files=files, nodes=left["nodes"].unionByName(nodes), chunks=all_chunks, embeddings=vectors, postings=inverted, terms=search.term_counts(inverted), corpus=search.corpus_of(all_chunks),
+        files=files, nodes=left["nodes"].unionByName(nodes), chunks=all_chunks, embeddings=vectors, postings=inverted, terms=search.term_counts(inverted), corpus=search.corpus_of(all_chunks, inverted),
         pipeline_state=left["pipeline_state"].filter("status <> 'running'").join(todo.select("file_id"), "file_id", "left_anti").unionByName(rows),
     )
     rate = failure_rate(store.table("pipeline_state")).first()

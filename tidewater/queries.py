@@ -202,8 +202,8 @@ def index_of(spark: SparkSession, d: str) -> search.Inverted:
             return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
 
         own = spread(texts(spark, d))
-        rows = write(search.by_term(search.postings(own)), "postings")
-        _INDEXES[key] = search.Inverted(rows, write(search.term_counts(rows), "terms"), write(search.corpus_of(own), "corpus"))
+        rows = write(search.by_term(search.count_words(own)), "postings")
+        _INDEXES[key] = search.Inverted(rows, write(search.term_counts(rows), "terms"), write(search.corpus_of(own, rows), "corpus"))
     return _INDEXES[key]
 
 
